@@ -1,0 +1,31 @@
+"""Queries of the training-data operators over the given tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from foliant.llm.split import placed_pieces, split_oversized
+from foliant.tables import table
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    cut = [split_oversized(table(spark, folder, t), "chunk_id", "text") for t in ("vectors", "vector_results")]
+    return cut[0].unionByName(cut[1]).select(F.col("item_id").alias("chunk_id")).filter("chunk_id is not null").distinct()
+
+
+def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """New pieces of the indexed chunks that are too long, placed by the newest chunk version."""
+    long = table(spark, folder, "vectors").filter(F.octet_length("text") > 1000).select("chunk_id", "text").distinct()
+    return placed_pieces(split_oversized(long, "chunk_id", "text"), table(spark, folder, "chunk_versions"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_pieces": p1_pieces}
+
+ORACLES: dict[str, str] = {
+    "p1_found": """
+        select distinct chunk_id from (select chunk_id, text from vectors union all select chunk_id, text from vector_results)
+        where strlen(text) > 1000 and chunk_id is not null""",
+}
