@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.llm.near import near_duplicate_classes, near_duplicate_groups, near_duplicate_pairs
 from foliant.llm.split import placed_pieces, split_oversized
 from foliant.tables import table
 
@@ -22,7 +23,29 @@ def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return placed_pieces(split_oversized(long, "chunk_id", "text"), table(spark, folder, "chunk_versions"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_pieces": p1_pieces}
+_PASSAGES = (("vectors", "chunk_id", "text"), ("fulltext_results", "result_id", "snippet"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    out = None
+    for name, key, text in _PASSAGES:
+        pairs = near_duplicate_pairs(*near_duplicate_classes(table(spark, folder, name), key, text, words=3, threshold=0.5))
+        rows = pairs.select(F.lit(name).alias("record_table"), "key_a", "key_b")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """The group of every passage, with its copies and links."""
+    out = None
+    for name, key, text in _PASSAGES:
+        groups = near_duplicate_groups(*near_duplicate_classes(table(spark, folder, name), key, text, words=3, threshold=0.5))
+        rows = groups.select(F.lit(name).alias("record_table"), "*")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups}
 
 ORACLES: dict[str, str] = {
     "p1_found": """
