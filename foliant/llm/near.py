@@ -113,13 +113,14 @@ def signatures(values: np.ndarray, sizes: np.ndarray, counts: np.ndarray, hot: f
     return np.concatenate(rows), np.concatenate(sigs)
 
 
-def near_duplicate_classes(df: DataFrame, id_col: str, text_col: str, words: int = 5, threshold: float = 0.8, band: int = 256, max_sketch: int = 1 << 22) -> tuple[DataFrame, DataFrame]:
+def near_duplicate_classes(df: DataFrame, id_col: str, text_col: str, words: int = 5, threshold: float = 0.8, band: int = 256, max_sketch: int = 1 << 22, max_broadcast: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
     """Classes of equal sets, and the similar pairs of classes.
 
     Returns members (item_id, class_id, n_runs) and links (class_a, class_b, similarity), class_a < class_b, similarity being the exact
     Jaccard similarity of the runs, at least `threshold`. class_id is the least item_id of its class. A null id or text, and a text with fewer
     than `words` words, has no runs and is left out of both. Repeated rows count once; an id with several texts is in a class for each. Other
-    columns are ignored. max_sketch bounds the counters of the frequency sketch (and so the broadcast, 4 bytes each).
+    columns are ignored. max_sketch bounds the counters of the frequency sketch (and so the broadcast, 4 bytes each). Ids of met pairs are
+    broadcast up to `max_broadcast` pairs; beyond, they are joined by a shuffle.
     """
     spark = df.sparkSession
     by = ["h1", "h2", "n_runs"]
@@ -156,7 +157,10 @@ def near_duplicate_classes(df: DataFrame, id_col: str, text_col: str, words: int
         .distinct()
     )
     met = saved(met, "met")
-    own = classes.select("class_id", "runs", "n_runs")
+    # only the sets that met are compared; the others never leave their executors while the list of ids is small
+    ids = met.select(F.explode(F.array("class_a", "class_b")).alias("class_id")).distinct()
+    ids = F.broadcast(ids) if met.count() <= max_broadcast else ids
+    own = saved(classes.select("class_id", "runs").join(ids, "class_id", "left_semi"), "met-sets")
     compared = (
         met.join(own.select(F.col("class_id").alias("class_a"), F.col("runs").alias("ra")), "class_a")
         .join(own.select(F.col("class_id").alias("class_b"), F.col("runs").alias("rb")), "class_b")

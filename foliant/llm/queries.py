@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.llm.cluster import direction_groups, group_report
+from foliant.llm.hnsw import most_similar
+from foliant.llm.names import link_names
 from foliant.llm.near import near_duplicate_classes, near_duplicate_groups, near_duplicate_pairs
 from foliant.llm.split import placed_pieces, split_oversized
 from foliant.tables import table
@@ -45,7 +48,42 @@ def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
     return out
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups}
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    near = most_similar(table(spark, folder, "vectors"), "chunk_id", "vector", queries=table(spark, folder, "knn_probes"))
+    return near.select(F.least("query_id", "item_id").alias("chunk_a"), F.greatest("query_id", "item_id").alias("chunk_b")).distinct()
+
+
+def p3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 10 most similar chunks of every chunk."""
+    return most_similar(table(spark, folder, "vectors"), "chunk_id", "vector").withColumn("similarity", F.round("similarity", 6))
+
+
+_PEOPLE = ("commitment_by", "commitment_to", "follow_up_with")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    actions, entities = table(spark, folder, "detected_actions"), table(spark, folder, "entities")
+    fields = actions.select("action_id", F.explode(F.array(*[F.struct(F.lit(c).alias("field_name"), F.col(c).alias("typed_name")) for c in _PEOPLE])).alias("x"))
+    fields = fields.select("action_id", "x.field_name", "x.typed_name").filter("typed_name is not null").distinct()
+    linked = link_names(fields, "typed_name", entities.filter("entity_type in ('person', 'organization')"))
+    return fields.join(linked, "typed_name").select("action_id", "field_name", "entity_id").distinct()
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    groups = direction_groups(table(spark, folder, "vectors"), "chunk_id", "vector").filter("group_no is not null")
+    sample = table(spark, folder, "cluster_sample").distinct()
+    a = sample.join(groups, F.col("chunk_id") == F.col("item_id")).select("batch_no", "group_no", F.col("chunk_id").alias("chunk_a"))
+    pairs = a.join(a.withColumnRenamed("chunk_a", "chunk_b"), ["batch_no", "group_no"])
+    return pairs.filter("chunk_a < chunk_b").select("batch_no", "chunk_a", "chunk_b")
+
+
+def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Each broad group with its size, its documents and its most typical chunks."""
+    vectors = table(spark, folder, "vectors")
+    return group_report(direction_groups(vectors, "chunk_id", "vector"), vectors, "chunk_id", "document_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p5_found": p5_found, "p5_groups": p5_groups}
 
 ORACLES: dict[str, str] = {
     "p1_found": """
