@@ -113,6 +113,40 @@ def signatures(values: np.ndarray, sizes: np.ndarray, counts: np.ndarray, hot: f
     return np.concatenate(rows), np.concatenate(sigs)
 
 
+def _bits(values: np.ndarray, sizes: np.ndarray, width: int) -> np.ndarray:
+    """Map of `width` bits of each set, as bytes."""
+    maps = np.zeros((len(sizes), width), bool)
+    maps[np.repeat(np.arange(len(sizes)), sizes), (values >> 20) & (width - 1)] = True
+    return np.packbits(maps, axis=1)
+
+
+def _maps(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        values, sizes = _flat(batch.column("runs"))
+        if len(sizes):
+            raw = _bits(values, sizes, width).tobytes()
+            step = width // 8
+            yield pa.RecordBatch.from_arrays([batch.column("class_id"), batch.column("n_runs"), pa.array([raw[i : i + step] for i in range(0, len(raw), step)], pa.binary())], ["class_id", "n", "m"])
+
+
+def _within(pairs: DataFrame, maps: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (class_a, class_b) whose maps don't differ more than sets of this similarity can."""
+    a = maps.select(F.col("class_id").alias("class_a"), F.col("n").alias("na"), F.col("m").alias("ma"))
+    b = maps.select(F.col("class_id").alias("class_b"), F.col("n").alias("nb"), F.col("m").alias("mb"))
+    joined = pairs.join(a, "class_a").join(b, "class_b")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("ma", "mb"))
+                differ = np.bitwise_count(x ^ y).sum(axis=1)
+                most = (batch.column("na").to_numpy() + batch.column("nb").to_numpy()) * ((1 - threshold) / (1 + threshold)) + 1e-6
+                yield batch.select(["class_a", "class_b"]).take(pa.array(np.flatnonzero(differ <= most)))
+
+    kind = maps.schema["class_id"].dataType.simpleString()
+    return joined.mapInArrow(near, f"class_a {kind}, class_b {kind}")
+
+
 def near_duplicate_classes(df: DataFrame, id_col: str, text_col: str, words: int = 5, threshold: float = 0.8, band: int = 256, max_sketch: int = 1 << 22, max_broadcast: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
     """Classes of equal sets, and the similar pairs of classes.
 
@@ -129,7 +163,7 @@ def near_duplicate_classes(df: DataFrame, id_col: str, text_col: str, words: int
     members = keyed.select("item_id", *by).distinct().join(classes.select("class_id", *by), by).select("item_id", "class_id", "n_runs")
 
     total = classes.agg(F.coalesce(F.sum("n_runs"), F.lit(0))).first()[0]
-    size = 1 << int(np.clip(np.ceil(np.log2(max(total, 1) / 32)), 10, np.log2(max_sketch)))
+    size = 1 << int(np.clip(np.ceil(np.log2(max(total, 1) / 64)), 10, np.log2(max_sketch)))
     counts = np.zeros(size, np.int32)
     found = classes.select(F.explode("runs").alias("r")).groupBy(F.col("r").bitwiseAND(F.lit(size - 1)).alias("k")).count().toArrow()
     counts[found["k"].to_numpy()] = found["count"].to_numpy()
@@ -141,9 +175,7 @@ def near_duplicate_classes(df: DataFrame, id_col: str, text_col: str, words: int
             if not len(values):
                 continue
             row, sig = signatures(values, sizes, shared.value, hot, threshold, band)
-            maps = np.zeros((len(sizes), 128), bool)
-            maps[np.repeat(np.arange(len(sizes)), sizes), (values >> 20) & 127] = True
-            bits = np.packbits(maps, axis=1).view(np.int64)
+            bits = _bits(values, sizes, 128).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(sig), batch.column("class_id").take(pa.array(row)), pa.array(sizes[row].astype(np.int32)), pa.array(bits[row, 0].copy()), pa.array(bits[row, 1].copy())], ["sig", "class_id", "n", "m0", "m1"])
 
     kind = classes.schema["class_id"].dataType.simpleString()
@@ -156,8 +188,11 @@ def near_duplicate_classes(df: DataFrame, id_col: str, text_col: str, words: int
         .select(F.col("x.class_id").alias("class_a"), F.col("y.class_id").alias("class_b"))
         .distinct()
     )
-    met = saved(met, "met")
-    # only the sets that met are compared; the others never leave their executors while the list of ids is small
+    # a map of 512 bits, bounding in the same way, leaves hardly any pair that is not similar
+    maps = classes.select("class_id", "runs", "n_runs").mapInArrow(lambda batches: _maps(batches, 512), f"class_id {kind}, n int, m binary")
+    wide = saved(maps, "maps")
+    met = saved(_within(met, wide, threshold), "met")
+    # only the sets that still meet are compared; the others never leave their executors while the list of ids is small
     ids = met.select(F.explode(F.array("class_a", "class_b")).alias("class_id")).distinct()
     ids = F.broadcast(ids) if met.count() <= max_broadcast else ids
     own = saved(classes.select("class_id", "runs").join(ids, "class_id", "left_semi"), "met-sets")
