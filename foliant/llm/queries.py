@@ -8,10 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm.cluster import direction_groups, group_report
+from foliant.llm.garbled import garbled_texts
 from foliant.llm.hnsw import most_similar
+from foliant.llm.mixing import mixed
 from foliant.llm.names import link_names
 from foliant.llm.near import near_duplicate_classes, near_duplicate_groups, near_duplicate_pairs
+from foliant.llm.packing import packed
 from foliant.llm.split import placed_pieces, split_oversized
+from foliant.llm.tokens import with_token_counts
+from foliant.session import saved
 from foliant.tables import table
 
 
@@ -83,7 +88,34 @@ def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
     return group_report(direction_groups(vectors, "chunk_id", "vector"), vectors, "chunk_id", "document_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p5_found": p5_found, "p5_groups": p5_groups}
+def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
+    return packed(table(spark, folder, "documents"), "doc_id", "text").withColumnRenamed("item_id", "doc_id")
+
+
+def _mix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    documents = table(spark, folder, "documents")
+    sized = saved(with_token_counts(documents, "doc_id", "text", keep=["source"]), "sized")
+    return mixed(sized, table(spark, folder, "mix_targets"), 50 * documents.count())
+
+
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return _mix(spark, folder)[0].select(F.col("item_id").alias("doc_id"), "source", "n_tokens", "n_uses", "place")
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return _mix(spark, folder)[1]
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return garbled_texts(table(spark, folder, "documents"), "doc_id", "text", "source", restore=False).select(F.col("item_id").alias("doc_id")).distinct()
+
+
+def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """The garbled documents with their original text, or without where it cannot be regained."""
+    return garbled_texts(table(spark, folder, "documents"), "doc_id", "text", "source").withColumnRenamed("item_id", "doc_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p5_found": p5_found, "p5_groups": p5_groups, "p6_containers": p6_containers, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_restored": p8_restored}
 
 ORACLES: dict[str, str] = {
     "p1_found": """
