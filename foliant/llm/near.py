@@ -7,7 +7,8 @@ The features of a text are its distinct runs of `words` words, as 64-bit hashes.
   they share two features at all, two among one more of each.
 * A rare feature there is a signature by itself; of the hot ones, every subset of two is. Of sets that share none of the rare ones, all shared
   ones there are hot, so they share a subset. Sets above `band` features would have too many subsets and use single hot features instead; those
-  of the neighbouring size band use both, so that sets of similar size always meet.
+  of the neighbouring size band use both, so that sets of similar size always meet. Long sets meet many others by chance; but as similar ones
+  share k features among k - 1 more of the least frequent ones, for any k, two sets above the band must meet in n/16 + 1 signatures.
 * A 128-bit map of a set's features goes with its signatures. The bits in which two maps differ bound their difference from below, which drops
   nearly all chance meetings before anything is compared.
 * What is left is compared exactly.
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 from foliant.operators.components import connected_components
 from foliant.session import saved
 
+#: Sets above the band share one more than this part of their features' number, so many more of the least frequent ones are signatures.
+SHARED = 16
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -97,7 +100,8 @@ def signatures(values: np.ndarray, sizes: np.ndarray, counts: np.ndarray, hot: f
     size = np.repeat(sizes, sizes)
     prefix = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
     common = seen > hot
-    single = (rank < prefix) & (~common | (size > band) | (size < 2 / threshold))
+    more = np.where(size > band, size // SHARED, 0)
+    single = (rank < prefix + more) & (~common | (size > band) | (size < 2 / threshold))
     rows, sigs = [row[single]], [values[single]]
     paired = np.flatnonzero((rank < prefix + 1) & common & (size <= band / threshold))
     if len(paired):
@@ -183,10 +187,13 @@ def near_duplicate_classes(df: DataFrame, id_col: str, text_col: str, words: int
     x, y = signed.alias("x"), signed.alias("y")
     differ = F.bit_count(F.col("x.m0").bitwiseXOR(F.col("y.m0"))) + F.bit_count(F.col("x.m1").bitwiseXOR(F.col("y.m1")))
     most = (F.col("x.n") + F.col("y.n")) * ((1 - threshold) / (1 + threshold)) + 1e-6
+    smaller = F.least("x.n", "y.n")
     met = (
         x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.n") >= F.col("y.n") * threshold) & (F.col("y.n") >= F.col("x.n") * threshold) & (differ <= most) & (F.col("x.class_id") < F.col("y.class_id")))
-        .select(F.col("x.class_id").alias("class_a"), F.col("y.class_id").alias("class_b"))
-        .distinct()
+        .groupBy(F.col("x.class_id").alias("class_a"), F.col("y.class_id").alias("class_b"))
+        .agg(F.count("*").alias("shared"), F.max(F.when(smaller > band, F.floor(smaller / SHARED) + 1).otherwise(1)).alias("due"))
+        .filter("shared >= due")
+        .select("class_a", "class_b")
     )
     # a map of 512 bits, bounding in the same way, leaves hardly any pair that is not similar
     maps = classes.select("class_id", "runs", "n_runs").mapInArrow(lambda batches: _maps(batches, 512), f"class_id {kind}, n int, m binary")
