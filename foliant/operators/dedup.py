@@ -27,7 +27,7 @@ def shingles(text: Column, words: int) -> Column:
 
     def runs(t: Column) -> Column:
         at = F.when(F.size(t) > words, F.sequence(F.lit(1), F.size(t) - words + 1)).when(F.size(t) > 0, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
-        return F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.concat_ws(" ", F.slice(t, i, words)))))
+        return F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.concat_ws(" ", *[F.get(t, i - 1 + k) for k in range(words)]))))
 
     return F.get(F.transform(F.array(tokens(text)), runs), F.lit(0))
 
