@@ -28,6 +28,7 @@ WEST = ["cp1252", "cp850", "cp437", "mac_roman"]
 CENTRAL = ["cp1250", "iso8859-2", "cp852", "mac_latin2"]
 CYRILLIC = ["cp1251", "koi8-r", "cp866", "iso8859-5", "mac_cyrillic"]
 _MULTI = {"gb18030", "shift_jis", "big5"}
+_RUN = re.compile(r"[^\x00-\x7f]+")
 LOST = "�"
 CLASSES, SKETCH, BAD = 1664, 1 << 18, -12.0
 
@@ -43,6 +44,13 @@ def _page(name: str) -> dict[int, str]:
     return out
 
 
+def letter_classes(text: str) -> np.ndarray:
+    """Bounded classes of the characters: those below 0x600 (digits as one) by themselves, all others hashed."""
+    x = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    x = np.where(x < 0x600, x, 0x600 + x % (CLASSES - 0x600))
+    return np.where((x >= 48) & (x <= 57), 48, x)
+
+
 class Ciphers:
     """All ciphers, each undone by undo(number, text): the written text, or None where the text can't have come from it."""
 
@@ -52,8 +60,17 @@ class Ciphers:
         single = [(w, r) for group in (WEST, CENTRAL, CYRILLIC) for w in group for r in group if w != r]
         single += [(w, r) for w in CENTRAL + CYRILLIC for r in [*WEST, "latin-1"]] + [(w, r) for w in ["cp1252"] for r in [*CENTRAL, *CYRILLIC, "latin-1"]]
         self.names = [f"utf-8 as {r}" for r in UTF8_READ_AS] + [f"utf-8 as {r} twice" for r in TWICE] + [f"{w} as {r}" for w, r in single]
+        self.multi = [any(m in n for m in _MULTI) for n in self.names]
         self._tables = [{ord(c): pages[w][b] for b, c in pages[r].items()} for w, r in single]
         self._known = [set(map(chr, t)) for t in self._tables]
+        # letter class of what stands for each character under each single-byte cipher, -1 where nothing does
+        self.first_single = len(self.names) - len(single)
+        self.classes = np.full((len(single), 0x10000), -1, np.int16)
+        self.classes[:, :128] = letter_classes("".join(map(chr, range(128))))
+        for k, table in enumerate(self._tables):
+            for char, letter in table.items():
+                if char < 0x10000:
+                    self.classes[k, char] = letter_classes(letter)[0]
 
     def _unread(self, text: str, page: str) -> str | None:
         try:
@@ -85,13 +102,6 @@ def ciphers() -> Ciphers:
     return _CIPHERS
 
 
-def letter_classes(text: str) -> np.ndarray:
-    """Bounded classes of the characters: those below 0x600 (digits as one) by themselves, all others hashed."""
-    x = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    x = np.where(x < 0x600, x, 0x600 + x % (CLASSES - 0x600))
-    return np.where((x >= 48) & (x <= 57), 48, x)
-
-
 def word_key(word: str) -> int:
     return xxhash.xxh32_intdigest(re.sub(r"\d", "0", word.lower().strip("""!"'()*,-./:;?[]"""))) % SKETCH
 
@@ -117,32 +127,65 @@ class Language:
 
     def __init__(self, bigrams: np.ndarray, words: np.ndarray):
         self.logs, self.words, self.known = bigrams, words, {}
-
-    def score(self, words: list[str]) -> np.ndarray:
-        x = letter_classes("".join(f" {w} " for w in words))
-        steps = self.logs[x[:-1], x[1:]]
-        ends = np.cumsum([len(w.lower()) + 2 for w in words])
-        sums = np.concatenate([[0], np.cumsum(steps)])
-        return sums[np.minimum(ends - 1, len(steps))] - sums[np.concatenate([[0], ends[:-1]])]
+        self.runs: dict[str, np.ndarray] = {}
+        self.better: set[str] = set()  # words that some cipher improves
 
     def gains(self, word: str) -> np.ndarray:
         """For each cipher, the gain in log-probability when the word is undone."""
         if word not in self.known:
             if len(self.known) > 300_000:
                 self.known.clear()
-            c = ciphers()
-            undone = [c.undo(k, word) for k in range(len(c.names))]
-            out = np.full(len(undone), BAD, np.float32)
-            out[[u == word for u in undone]] = 0
-            some = [k for k, u in enumerate(undone) if u is not None and u != word]
-            if some:
-                texts = [undone[k] for k in some]
-                bigram = self.score([word, *texts])
-                count = np.log(self.words[[word_key(w) for w in (word, *texts)]] + 0.5)
-                out[some] = np.maximum(bigram[1:] - bigram[0] + np.clip(count[1:] - count[0], -6, 6), BAD)
-            self.known[word] = out
+            self.known[word] = found = self._gains(word)
+            if found.max() > 0:
+                self.better.add(word)
         return self.known[word]
 
+    def _run_gains(self, run: str) -> np.ndarray:
+        """Of a run of characters beyond ASCII with the one before and the one behind it, by bigrams alone; -inf where it can't be undone."""
+        if run in self.runs:
+            return self.runs[run]
+        if len(self.runs) > 100_000:
+            self.runs.clear()
+        c = ciphers()
+        out = np.full(len(c.names), -np.inf, np.float32)
+        inner = run[1:-1]
+        undone = {}
+        for k in range(c.first_single):
+            # letters beyond ASCII have two bytes and more, so in a single-byte page each is two characters or more
+            if len(inner) > 1 or c.multi[k]:
+                u = c.undo(k, inner)
+                if u is not None:
+                    undone[k] = run[0] + u + run[-1]
+        x = letter_classes(run)
+        own = self.logs[x[:-1], x[1:]].sum()
+        for k, u in undone.items():
+            y = letter_classes(u)
+            out[k] = self.logs[y[:-1], y[1:]].sum() - own
+        x = np.frombuffer(run.encode("utf-32-le", "surrogatepass"), np.uint32)
+        x = c.classes[:, np.minimum(x, 0xFFFF)]
+        x[:, 0], x[:, -1] = letter_classes(run[0])[0], letter_classes(run[-1])[0]
+        some = np.flatnonzero((x >= 0).all(axis=1))
+        x = x[some]
+        out[some + c.first_single] = self.logs[x[:, :-1], x[:, 1:]].sum(axis=1) - own
+        self.runs[run] = out
+        return out
+
+    def _gains(self, word: str) -> np.ndarray:
+        # ASCII stays as it is under every cipher, so only the runs between change the bigrams
+        padded = f" {word} "
+        out = sum(self._run_gains(padded[m.start() - 1 : m.end() + 1]) for m in _RUN.finditer(padded))
+        c = ciphers()
+        # how often the words occur matters where the letters leave it open
+        open_ = np.flatnonzero(out > -6)
+        if len(open_):
+            texts = [c.undo(k, word) or word for k in open_.tolist()]
+            key = {w: word_key(w) for w in {word, *texts}}
+            count = np.log(self.words[[key[word], *[key[w] for w in texts]]] + 0.5)
+            same = np.array([w == word for w in texts])
+            out[open_] += np.clip(count[1:] - count[0], -6, 6)
+            out[open_[same]] = 0
+        return np.maximum(out, BAD)
+
     def text_scores(self, text: str) -> np.ndarray:
         """For each cipher the summed gain over the sentences it improves; a word counts once a text."""
         total = np.zeros(len(ciphers().names), np.float32)
@@ -151,7 +194,9 @@ class Language:
             new = set(part) - seen
             if new:
                 seen |= new
-                total += np.maximum(sum(self.gains(w) for w in new), 0)
+                rows = [self.gains(w) for w in new]
+                if any(w in self.better for w in new):
+                    total += np.maximum(sum(rows), 0)
         return total
 
     def restore(self, text: str, likely: list[int]) -> str:
