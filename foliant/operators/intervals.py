@@ -26,13 +26,20 @@ def overlaps(events: DataFrame, key: str, id_col: str, start: str, end: str, buc
 
 
 def islands(events: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """(key, start, end): the events of a key merged where they overlap or touch."""
-    rows = events.select(key, F.col(start).alias("s"), F.col(end).alias("e")).filter("e > s")
-    w = W.partitionBy(key).orderBy("s", "e")
+    """(key, start, end): the events of a key merged where they overlap or touch.
+
+    The events that start on one day are merged first, then what is left of all days, so that a key with very many events is shared out by day.
+    """
+    rows = events.select(key, F.col(start).alias("s"), F.col(end).alias("e")).filter("e > s").withColumn("day", F.to_date("s"))
+    return _merged(_merged(rows, [key, "day"]), [key]).withColumnsRenamed({"s": "start", "e": "end"})
+
+
+def _merged(rows: DataFrame, keys: list[str]) -> DataFrame:
+    w = W.partitionBy(*keys).orderBy("s", "e")
     reach = F.max("e").over(w.rowsBetween(W.unboundedPreceding, -1))
     marked = rows.withColumn("new", F.when(reach.isNull() | (F.col("s") > reach), 1).otherwise(0))
     numbered = marked.withColumn("n", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return numbered.groupBy(key, "n").agg(F.min("s").alias("start"), F.max("e").alias("end")).drop("n")
+    return numbered.groupBy(*keys, "n").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("n")
 
 
 def free_time(events: DataFrame, key: str, start: str, end: str, first_hour: int = 9, last_hour: int = 17, least_minutes: int = 30) -> DataFrame:

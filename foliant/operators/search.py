@@ -105,9 +105,11 @@ def max_pool(hits: DataFrame, keys: list[str], score: str, text: str) -> DataFra
 
 def min_max(scored: DataFrame, group: str, score: str = "score") -> DataFrame:
     """Adds `normalized`: the score between its group's least (0) and greatest (1); 1 where all are equal."""
-    w = W.partitionBy(group)
-    low, high = F.min(score).over(w), F.max(score).over(w)
-    return scored.withColumn("normalized", F.when(high == low, 1.0).otherwise((F.col(score) - low) / (high - low)))
+    low, high = F.col("_low"), F.col("_high")
+    # a join with the groups' extremes, as a window would hold a whole group in one task
+    ends = scored.groupBy(group).agg(F.min(score).alias("_low"), F.max(score).alias("_high"))
+    normal = F.when(high == low, 1.0).otherwise((F.col(score) - low) / (high - low))
+    return scored.join(ends, group, "left").withColumn("normalized", normal).drop("_low", "_high")
 
 
 def rrf(arms: list[tuple[DataFrame, float]], group: str, item: str, k: int = 60) -> DataFrame:
@@ -128,9 +130,10 @@ def dbsf(arms: list[tuple[DataFrame, float]], group: str, item: str, floor: floa
     """(group, item, score, n_arms): distribution-based fusion, the weighted sum of the sigmoid of each arm's z-score."""
     parts = None
     for arm, weight in arms:
-        w = W.partitionBy(group)
-        z = (F.col("score") - F.avg("score").over(w)) / F.greatest(F.stddev_pop("score").over(w), F.lit(floor))
-        part = arm.filter("score is not null").select(group, item, (weight / (1 + F.exp(-z))).alias("part"))
+        given = arm.filter("score is not null")
+        shape = given.groupBy(group).agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("spread"))
+        z = (F.col("score") - F.col("mean")) / F.greatest(F.col("spread"), F.lit(floor))
+        part = given.join(shape, group).select(group, item, (weight / (1 + F.exp(-z))).alias("part"))
         parts = part if parts is None else parts.unionByName(part)
     return parts.groupBy(group, item).agg(F.sum("part").alias("score"), F.count("*").alias("n_arms"))
 
@@ -140,8 +143,8 @@ def feedback_terms(hits: DataFrame, group: str, text: str, k: int = 10, most: in
     their frequency relative to the most frequent one."""
     t = hits.filter(F.col("place") <= k).select(group, F.explode(tokens(F.col(text), least_length)).alias("term"))
     tf = t.groupBy(group, "term").agg(F.count("*").alias("tf")).filter("tf > 1")
-    w = W.partitionBy(group)
-    scored = tf.withColumn("score", F.col("tf") / F.max("tf").over(w))
+    top = tf.groupBy(group).agg(F.max("tf").alias("_top"))
+    scored = tf.join(top, group).withColumn("score", F.col("tf") / F.col("_top")).drop("_top")
     return best(scored, group, F.round("score", 6), "term", most)
 
 
