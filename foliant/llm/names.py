@@ -207,7 +207,9 @@ def link_names(names: DataFrame, name_col: str, entities: DataFrame, id_col: str
     index = index.select(F.col("form").alias("known_form"), "len", "no", F.col("form").substr(start + 1, size).alias("piece"))
 
     # the same places of a name, up to k aside, for forms of every length within k
-    probe = asked.select("form").distinct().withColumn("own", F.length("form"))
+    # few bytes but much work: spread over all tasks, whatever their size
+    tasks = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    probe = asked.select("form").distinct().repartition(tasks, "form").withColumn("own", F.length("form"))
     probe = probe.select("form", "own", F.explode(F.sequence(F.greatest(F.col("own") - 2, F.lit(2)), F.col("own") + 2)).alias("len"))
     probe = probe.withColumn("k", allowed(F.col("len"))).filter(F.abs(F.col("len") - F.col("own")) <= F.col("k"))
     probe = probe.select("form", "own", "len", "k", F.explode(F.sequence(F.lit(0), 2 * F.col("k"))).alias("no"))
