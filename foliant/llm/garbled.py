@@ -275,8 +275,8 @@ def source_posteriors(scored: DataFrame, sizes: DataFrame, prior: float = 1e-3,
     return current
 
 
-def garbled_texts(df: DataFrame, id_col: str, text_col: str, source_col: str, rounds: int = 2, restore: bool = True, max_broadcast: int = 1_000_000) -> DataFrame:
-    """(item_id, ciphers, p_garbled, restored, complete) for every text that is more probably garbled than not.
+def garbled_texts(df: DataFrame, id_col: str, text_col: str, source_col: str, rounds: int = 2, restore: bool = True, least: float = 0.5, max_broadcast: int = 1_000_000) -> DataFrame:
+    """(item_id, ciphers, p_garbled, restored, complete) for every text whose probability of being garbled exceeds `least`.
 
     ciphers: names of the likely ciphers, the likeliest first. restored: the text with these undone, null where nothing could be; complete: whether
     no character remains lost. A text with control characters from U+0080 to U+009F (but U+0085) or the replacement character U+FFFD is always a case, though what
@@ -313,7 +313,7 @@ def garbled_texts(df: DataFrame, id_col: str, text_col: str, source_col: str, ro
 
         scored = saved(given.mapInArrow(score, f"item_id {kind}, source string, cipher int, score double").distinct(), "scored")
         likely = source_posteriors(scored, sizes).filter("p > 0.01").groupBy("item_id").agg(F.sum("p").alias("p_garbled"), F.sort_array(F.collect_list(F.struct((-F.col("p")).alias("q"), "cipher"))).alias("of"))
-        likely = saved(likely.filter("p_garbled > 0.5"), "likely")
+        likely = saved(likely.filter(F.col("p_garbled") > least), "likely")
         if k < rounds - 1:
             clean = given.join(F.broadcast(likely) if likely.count() <= max_broadcast else likely, "item_id", "left_anti")
     # control characters beyond ASCII (but for the line break U+0085) are never written; U+FFFD stands for what no page could read
