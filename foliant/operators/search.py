@@ -79,6 +79,11 @@ def vector_topk(items: DataFrame, id_col: str, vector_col: str, queries: DataFra
             x, items = x[good], batch.column("item_id").take(pa.array(good))
             if not len(x):
                 continue
+            # repeated rows count once; of an item with several vectors in the batch each may stand among the best
+            code = items.dictionary_encode().indices.to_numpy().astype(np.int64)
+            _, one = np.unique(np.column_stack([code, np.ascontiguousarray(x).view(np.int64)]), axis=0, return_index=True)
+            x, items, code = x[one], items.take(pa.array(one)), code[one]
+            most = min(k + len(code) - len(np.unique(code)), len(x))
             place = np.array([own.get(i, -1) for i in items.to_pylist()])
             for a in range(0, len(q), block):
                 part = q[a : a + block]
@@ -87,7 +92,7 @@ def vector_topk(items: DataFrame, id_col: str, vector_col: str, queries: DataFra
                     s = 1 / (1 + np.maximum((part**2).sum(axis=1)[:, None] + (x**2).sum(axis=1) - 2 * s, 0))
                 mine = np.flatnonzero((place >= a) & (place < a + len(part)))
                 s[place[mine] - a, mine] = -np.inf
-                top = np.argpartition(-s, min(k, len(x)) - 1, axis=1)[:, :k]
+                top = np.argpartition(-s, most - 1, axis=1)[:, :most]
                 # scores that are equal when rounded must not depend on the batch: keep all that tie
                 edge = np.take_along_axis(s, top, 1).min(axis=1)
                 r, c = np.nonzero((s >= edge[:, None] - 1.1e-6) & np.isfinite(s))
