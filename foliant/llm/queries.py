@@ -60,7 +60,7 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """The 10 most similar chunks of every chunk. Every row is a query here, so each visits fewer cells."""
-    return most_similar(table(spark, folder, "vectors"), "chunk_id", "vector", min_cells=3, cell_share=0.02, ef=16, m=8).withColumn("similarity", F.round("similarity", 6))
+    return most_similar(table(spark, folder, "vectors"), "chunk_id", "vector", min_cells=3, cell_share=0.02, ef=16, m=6).withColumn("similarity", F.round("similarity", 6))
 
 
 _PEOPLE = ("commitment_by", "commitment_to", "follow_up_with")
