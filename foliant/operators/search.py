@@ -171,3 +171,34 @@ def edit_neighbours(terms: DataFrame, vocabulary: DataFrame, most: int = 2) -> D
     b = remains(vocabulary.select(F.col("term").alias("near")).distinct(), "near")
     met = a.join(b, "rest").select("term", "near").distinct()
     return met.withColumn("edits", F.levenshtein("term", "near")).filter(F.col("edits").between(1, most))
+
+
+def reranked(hits: DataFrame, similarity: Column, score: str = "score", share: float = 0.4, k: int = 10, group: str = "query_id", tie: str = "item_id") -> DataFrame:
+    """The k best hits of each group by share * score + (1 - share) * similarity; a null similarity counts as 0."""
+    return best(hits.withColumn("score", share * F.col(score) + (1 - share) * F.coalesce(similarity, F.lit(0.0))), group, F.round("score", 6), tie, k)
+
+
+def highlights(text: Column, terms: Column) -> Column:
+    """Merged (start, stop) character spans, from 0, where any of the terms (an array, any case) stands in the text; overlapping and adjacent spans are one.
+    A null text or null terms have none.
+
+    All places of a term are found by splitting the lower-cased text at it, so this stays within the JVM.
+    """
+    low = F.lower(text)
+
+    def places(term: Column) -> Column:
+        parts = F.split(low, F.concat(F.lit("\\Q"), F.lower(term), F.lit("\\E")), -1)
+        n = F.length(term)
+        ends = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0), lambda s, x: s + F.length(x)) + (i - 1) * n)
+        return F.when(F.size(parts) > 1, F.transform(ends, lambda s: F.struct(s.cast("int").alias("start"), (s + n).cast("int").alias("stop")))).otherwise(F.array().cast("array<struct<start:int,stop:int>>"))
+
+    given = F.filter(F.coalesce(terms, F.array().cast("array<string>")), lambda t: F.length(t) > 0)
+    spans = F.array_sort(F.flatten(F.transform(given, places)))
+    empty = F.array().cast("array<struct<start:int,stop:int>>")
+
+    def add(done: Column, span: Column) -> Column:
+        last = F.element_at(done, -1)
+        joined = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["stop"], span["stop"]).alias("stop"))))
+        return F.when((F.size(done) > 0) & (F.get(done, F.size(done) - 1)["stop"] >= span["start"]), joined).otherwise(F.concat(done, F.array(span)))
+
+    return F.aggregate(spans, empty, add)

@@ -93,6 +93,20 @@ ORACLES: dict[str, str] = {
         top as (select * from (select *, row_number() over (partition by query_id order by score desc, document_id) place from fused) where place <= 10),
         n as (select *, case when max(score) over w = min(score) over w then 1.0 else (score - min(score) over w) / (max(score) over w - min(score) over w) end normalized from top window w as (partition by query_id))
         select query_id, place, document_id, score, round(normalized, 4) normalized, n_arms, {_source("source")} source, {HEADING} heading from n join documents on doc_id = document_id""",
+    "reranked_hits": f"""
+        with p as (select query_id, document_id, score, snippet from (select *, row_number() over (partition by query_id, document_id order by score desc nulls last, snippet) nth from (select distinct * from fulltext_results)) where nth = 1 and score is not null),
+        m as (select query_id, document_id, score, list_distinct({_tokens("snippet")}) own, case when max(score) over w = min(score) over w then 1.0 else (score - min(score) over w) / (max(score) over w - min(score) over w) end norm,
+            row_number() over (partition by query_id order by score desc, document_id) nth from p window w as (partition by query_id)),
+        b as (select m.*, t.own wanted, len(list_intersect(m.own, t.own)) n from m join m t on m.query_id = t.query_id and t.nth = 1),
+        s as (select query_id, document_id, round(0.4 * norm + 0.6 * n / greatest(len(own) + len(wanted) - n, 1), 6) score from b)
+        select * from (select *, row_number() over (partition by query_id order by score desc, document_id) place from s) where place <= 10""",
+    "readable_documents": f"""
+        with d as (select doc_id doc, author o, {_source("source")} source_id, mime_type from documents),
+        users as (select distinct o from d where o is not null),
+        may as (select o, doc from d where o is not null
+            union select u.o, doc from users u, d where source_id in (select source_id from sources where watching)
+            union select u.o, doc from users u join d on substr(u.o, 1, 4) = substr(d.o, 1, 4) where mime_type = 'text/markdown')
+        select o "user", count(*) n_documents from may group by 1""",
     "feedback_terms": f"""
         with p as (select query_id, document_id, score, snippet from (select *, row_number() over (partition by query_id, document_id order by score desc nulls last, snippet) nth from (select distinct * from fulltext_results)) where nth = 1 and score is not null),
         h as (select * from (select *, row_number() over (partition by query_id order by score desc, document_id) place from p) where place <= 10),

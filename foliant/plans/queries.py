@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions.text import heading, lang_key, snippet, source_key, tokens
 from foliant.functions.vectors import fault
-from foliant.operators import changes, dedup, extract, graph, intervals, search, topics
+from foliant.operators import access, changes, dedup, extract, graph, intervals, search, topics
 from foliant.operators.components import connected_components
 from foliant.session import saved, shared_dir
 from foliant.sources import files
@@ -110,6 +110,29 @@ def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
     return top.join(documents, "document_id").select("query_id", "place", "document_id", "score", F.round("normalized", 4).alias("normalized"), "n_arms", "source", "heading")
 
 
+@query
+def reranked_hits(spark: SparkSession, folder: str) -> DataFrame:
+    """Full-text hits ranked anew by the words they share with the query's best hit."""
+    hits = search.min_max(_text_arm(spark, folder).filter("score is not null"), "query_id")
+    words = F.array_distinct(tokens(F.col("best_text")))
+    top = search.best(hits, "query_id", F.col("score"), "document_id", 1).select("query_id", words.alias("wanted"))
+    both = hits.join(top, "query_id").withColumn("own", words)
+    shared = F.size(F.array_intersect("own", "wanted"))
+    alike = shared / F.greatest(F.size("own") + F.size("wanted") - shared, F.lit(1))
+    return search.reranked(both, alike, score="normalized", tie="document_id").select("query_id", "document_id", "score", "place")
+
+
+@query
+def highlighted_hits(spark: SparkSession, folder: str) -> DataFrame:
+    """Where the best hits of the stated queries have the queries' terms."""
+    documents = table(spark, folder, "documents")
+    terms = _title_terms(documents)
+    hits = search.bm25(search.postings(documents, "doc_id", "text"), terms, k=3)
+    asked = terms.groupBy("query_id").agg(F.sort_array(F.collect_set("term")).alias("terms"))
+    texts = hits.join(asked, "query_id").join(documents.select(F.col("doc_id").alias("doc"), "text"), "doc")
+    return texts.select("query_id", "doc", F.explode(search.highlights(F.col("text"), F.col("terms"))).alias("h")).select("query_id", "doc", "h.start", "h.stop")
+
+
 @query
 def feedback_terms(spark: SparkSession, folder: str) -> DataFrame:
     hits = search.best(_text_arm(spark, folder).filter("score is not null"), "query_id", F.col("score"), "document_id", 10)
@@ -189,6 +212,19 @@ def scanned_files(spark: SparkSession, folder: str) -> DataFrame:
     return files.scan_folder(spark, folder, include=["*.parquet", "**/*.parquet"], exclude=["**/_*", "_*"]).select("path", "size")
 
 
+@query
+def readable_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """How many documents each author may read: its own, all of a watched source's, and markdown of its team, in which ten authors are together."""
+    d = table(spark, folder, "documents").select(F.col("doc_id").alias("doc"), F.col("author").alias("owner"), source_key(F.col("source")).alias("source_id"), "mime_type")
+    team = F.concat(F.lit("team-"), F.substring("owner", 1, 4))
+    members = d.filter("owner is not null").select(F.col("owner").alias("user"), team.alias("role")).distinct()
+    inherits = members.select("role", F.substring("role", 1, 8).alias("parent")).distinct()
+    watched = d.join(table(spark, folder, "sources").filter("watching").select("source_id"), "source_id", "left_semi").select("doc", F.lit(access.EVERYONE).alias("principal"))
+    shared = d.filter("mime_type = 'text/markdown' and owner is not null").select("doc", team.alias("principal"))
+    may = access.readable(d, watched.union(shared), access.effective_principals(members, inherits))
+    return may.groupBy("user").agg(F.count("*").alias("n_documents"))
+
+
 # -- duplicates ------------------------------------------------------------------------------------------------------------------------------
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions.text import heading, snippet
 from foliant.functions.vectors import cosine, fault
-from foliant.operators import changes, dedup, extract, graph, intervals, search, topics
+from foliant.operators import access, changes, dedup, extract, graph, intervals, search, topics
 from foliant.operators.components import connected_components
 from foliant.sources import files
 
@@ -171,3 +171,25 @@ def test_globs(spark):
     df = spark.createDataFrame([("a.txt",), ("d/b.txt",), ("d/_c.txt",), ("d/e/f.md",)], "p string")
     pick = lambda *a: [r.p for r in df.filter(files.glob_filter(F.col("p"), *a)).collect()]
     assert pick(["*.txt"]) == ["a.txt"] and pick(["**/*.txt"], ["**/_*"]) == ["a.txt", "d/b.txt"] and pick([], ["d/**"]) == ["a.txt"]
+
+
+def test_highlights_merge(spark):
+    df = spark.createDataFrame([("An Alert, an alert.an ALERTan", ["alert", "an"]), ("a+b a+b", ["a+b", ""]), ("none", ["x"]), (None, ["x"]), ("x", None)], "t string, q array<string>")
+    got = [[(h.start, h.stop) for h in r.h] if r.h is not None else None for r in df.select(search.highlights(F.col("t"), F.col("q")).alias("h")).collect()]
+    assert got == [[(0, 2), (3, 8), (10, 12), (13, 18), (19, 21), (22, 29)], [(0, 3), (4, 7)], [], [], []]
+
+
+def test_access(spark):
+    members = spark.createDataFrame([("ann", "editor"), ("bob", "guest"), ("cy", None), (None, "guest")], "user string, role string")
+    inherits = spark.createDataFrame([("editor", "viewer"), ("viewer", "guest"), ("guest", "viewer"), (None, "x")], "role string, parent string")
+    who = access.effective_principals(members, inherits)
+    assert [p for u, p in rows(who) if u == "ann"] == ["ann", "editor", "everyone", "guest", "viewer"] and [p for u, p in rows(who) if u == "cy"] == ["cy", "everyone"]
+    docs = spark.createDataFrame([(1, "cy"), (2, None), (3, "ann")], "doc int, owner string")
+    entries = spark.createDataFrame([(1, "editor"), (1, "editor"), (3, "guest")], "doc int, principal string")
+    assert rows(access.readable(docs, entries, who)) == [("ann", 1), ("ann", 3), ("bob", 3), ("cy", 1)]
+    assert ("bob", 2) in rows(access.readable(docs, entries, who, open_by_default=True))
+
+
+def test_rerank(spark):
+    hits = spark.createDataFrame([(1, 1, 1.0, 0.0), (1, 2, 0.5, 1.0), (1, 3, 0.9, None)], "query_id int, item_id int, score double, s double")
+    assert [r.item_id for r in search.reranked(hits, F.col("s"), k=2).orderBy("place").collect()] == [2, 1]
