@@ -26,9 +26,16 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
-    """New pieces of the indexed chunks that are too long, placed by the newest chunk version."""
-    long = table(spark, folder, "vectors").filter(F.octet_length("text") > 1000).select("chunk_id", "text").distinct()
-    return placed_pieces(split_oversized(long, "chunk_id", "text"), table(spark, folder, "chunk_versions"))
+    """New pieces of the texts that are too long, indexed (vectors) and as they were found (vector_results), placed by the newest chunk version.
+
+    Different texts of one chunk have different text_hash."""
+    long = None
+    for name in ("vectors", "vector_results"):
+        rows = table(spark, folder, name).filter(F.octet_length("text") > 1000).select(F.lit(name).alias("record_table"), "chunk_id", "text").distinct()
+        long = rows if long is None else long.unionByName(rows)
+    keep = ["record_table", "text_hash"]
+    pieces = split_oversized(long.withColumn("text_hash", F.md5(F.col("text").cast("binary"))), "chunk_id", "text", keep=keep)
+    return placed_pieces(pieces, table(spark, folder, "chunk_versions"), F.col("record_table") == "vectors", keep)
 
 
 _PASSAGES = (("vectors", "chunk_id", "text"), ("fulltext_results", "result_id", "snippet"))

@@ -7,11 +7,11 @@ derived in log2(m) whole-array steps instead of m dependent ones.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -77,49 +77,55 @@ def cuts(raw: np.ndarray, limit: int, overlap: int) -> tuple[np.ndarray, np.ndar
     return known, end[known]
 
 
-def split_oversized(df: DataFrame, id_col: str, text_col: str, limit: int = 1000, overlap: int = 100) -> DataFrame:
+def split_oversized(df: DataFrame, id_col: str, text_col: str, limit: int = 1000, overlap: int = 100, keep: Sequence[str] = ()) -> DataFrame:
     """Pieces of at most `limit` UTF-8 bytes for every text longer than that.
 
-    Returns (item_id, piece_no, byte_start, byte_length, piece_text); other columns are not carried, so clashing names do no harm. Together
-    the pieces cover every byte of the text. A null, empty or short text yields no row; a null id is kept as null; repeated rows are cut
+    Returns (item_id, piece_no, byte_start, byte_length, piece_text) and the columns of `keep`; others are not carried, so clashing names do no
+    harm. Together the pieces cover every byte of the text. A null, empty or short text yields no row; a null id is kept as null; repeated rows are cut
     once each. Needs limit >= 8 and overlap <= limit / 4.
     """
     if limit < 8 or overlap < 0 or 4 * overlap > limit:
         raise ValueError("limit must be at least 8 and four times the overlap")
-    long = df.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("whole")).filter(F.octet_length("whole") > limit)
+    long = df.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("whole"), *keep).filter(F.octet_length("whole") > limit)
     kind = long.schema["item_id"].dataType.simpleString()
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for item, text in zip(batch["item_id"], batch["whole"]):
+            for item, text, *rest in zip(batch["item_id"], batch["whole"], *[batch[c] for c in keep]):
                 data = text.encode("utf-8")
                 start, end = cuts(np.frombuffer(data, np.uint8), limit, overlap)
                 yield pd.DataFrame({
                     "item_id": [item] * len(start), "piece_no": np.arange(len(start), dtype=np.int32), "byte_start": start.astype(np.int64),
                     "byte_length": (end - start).astype(np.int64), "piece_text": [data[a:b].decode("utf-8") for a, b in zip(start, end)],
-                })
+                } | {c: [x] * len(start) for c, x in zip(keep, rest)})
 
-    return long.mapInPandas(pieces, f"item_id {kind}, piece_no int, byte_start bigint, byte_length bigint, piece_text string")
+    kept = "".join(f", {c} {long.schema[c].dataType.simpleString()}" for c in keep)
+    return long.mapInPandas(pieces, f"item_id {kind}, piece_no int, byte_start bigint, byte_length bigint, piece_text string{kept}")
 
 
-def placed_pieces(pieces: DataFrame, placed: DataFrame) -> DataFrame:
-    """Pieces with their document, and with new positions and offsets in it.
+def placed_pieces(pieces: DataFrame, placed: DataFrame, indexed: Column | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """Pieces with their document, and with new positions and offsets in it, and the columns of `keep`.
 
     pieces: of split_oversized, item_id being chunk_id. placed: the chunks before the split (version_id, document_id, chunk_id, position,
     byte_offset, created_at), any number of versions; the newest counts, of equal times that with the greatest version_id. A piece moves
     back by the extra pieces that the oversized chunks before it in its document bring. Without a row in placed, document_id stays null and
     position and offset count from the chunk's own start; null positions and offsets count as 0.
+
+    indexed: whether a piece is of the text that the index holds, by default all are. A chunk may have several texts and moves others once:
+    by its indexed text, else by that with most pieces. Chunks without an indexed text are moved by all, but move only each other.
     """
-    n = pieces.groupBy("item_id").agg(F.max("piece_no").alias("extra"))
+    own = F.lit(True) if indexed is None else indexed
+    n = pieces.groupBy("item_id").agg(F.max(F.when(own, F.col("piece_no"))).alias("indexed"), F.max("piece_no").alias("most"))
     newest = (
         placed.select("chunk_id", "document_id", "position", "byte_offset", "created_at", "version_id")
         .join(n, placed["chunk_id"] == n["item_id"], "left_semi")
         .groupBy("chunk_id")
         .agg(F.max_by(F.struct("document_id", "position", "byte_offset"), F.struct("created_at", "version_id")).alias("at"))
     )
-    # only oversized chunks bring extra pieces, so only they take part in the running sum
+    # only oversized chunks bring extra pieces, so only they take part in the running sums
     before = W.partitionBy("at.document_id").orderBy("at.position", "item_id").rowsBetween(W.unboundedPreceding, -1)
-    moved = F.when(F.col("at.document_id").isNotNull(), F.coalesce(F.sum("extra").over(before), F.lit(0))).otherwise(0)
+    extra = F.when(F.col("indexed").isNotNull(), F.sum("indexed").over(before)).otherwise(F.sum(F.coalesce("indexed", "most")).over(before))
+    moved = F.when(F.col("at.document_id").isNotNull(), F.coalesce(extra, F.lit(0))).otherwise(0)
     base = n.join(newest, n["item_id"] == newest["chunk_id"], "left").select("item_id", "at", moved.alias("moved"))
     zero = F.lit(0)
     return pieces.join(base, "item_id").select(
@@ -129,4 +135,5 @@ def placed_pieces(pieces: DataFrame, placed: DataFrame) -> DataFrame:
         (F.coalesce("at.byte_offset", zero) + F.col("byte_start")).alias("byte_offset"),
         "byte_length",
         F.col("piece_text").alias("text"),
+        *keep,
     )

@@ -1,8 +1,11 @@
+import hashlib
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from foliant.llm.queries import p1_pieces
 from foliant.llm.split import PARAGRAPH, WORD, boundary_levels, cuts, placed_pieces, split_oversized
 
 
@@ -64,3 +67,23 @@ def test_places_move_back(spark):
     placed = spark.createDataFrame([("v1", 7, "d-0", 0, 0, 1), ("v1", 7, "d-1", 1, 1700, 1), ("v1", 7, "d-2", 2, 1800, 1), ("v0", 7, "d-2", 9, 9, 0)], "version_id string, document_id bigint, chunk_id string, position int, byte_offset bigint, created_at int")
     got = sorted((r.chunk_id, r.document_id, r.position, r.byte_offset) for r in placed_pieces(pieces, placed).collect())
     assert got == [("d-0", 7, 0, 0), ("d-0", 7, 1, 800), ("d-2", 7, 3, 1800), ("d-2", 7, 4, 2700), ("e-0", None, 0, 0)]
+
+
+def test_found_texts_are_cut_and_placed_too(spark, tmp_path):
+    """Chunk a is indexed and found, with two texts; b is found only; c is indexed behind both."""
+    now, then, gone = "now " * 400, "then " * 500, "gone " * 300
+    spark.createDataFrame([("a", now), ("a", now), ("c", now), ("s", "short")], "chunk_id string, text string").write.parquet(f"{tmp_path}/vectors.parquet")
+    spark.createDataFrame([("a", now), ("a", then), ("a", then), ("b", gone), ("d", gone), ("s", "short")], "chunk_id string, text string").write.parquet(f"{tmp_path}/vector_results.parquet")
+    placed = [("v", 7, c, k, 2000 * k, 1) for k, c in enumerate("abcd")]
+    spark.createDataFrame(placed, "version_id string, document_id bigint, chunk_id string, position int, byte_offset bigint, created_at int").write.parquet(f"{tmp_path}/chunk_versions.parquet")
+    got = {}
+    for r in sorted(p1_pieces(spark, str(tmp_path)).collect(), key=lambda r: r.byte_offset):
+        got.setdefault((r.record_table, r.chunk_id, r.text_hash), []).append(r)
+    key = lambda t, c, text: (t, c, hashlib.md5(text.encode()).hexdigest())
+    first = {key("vectors", "a", now): 0, key("vectors", "c", now): 3, key("vector_results", "a", now): 0, key("vector_results", "a", then): 0, key("vector_results", "b", gone): 2, key("vector_results", "d", gone): 6}
+    assert set(got) == set(first)
+    for (_, chunk, digest), part in got.items():
+        text = next(t for t in (now, then, gone) if hashlib.md5(t.encode()).hexdigest() == digest)
+        assert [r.position for r in part] == list(range(first[part[0].record_table, chunk, digest], first[part[0].record_table, chunk, digest] + len(part)))
+        assert all(r.text == text[r.byte_offset - 2000 * "abcd".index(chunk) :][: r.byte_length] and r.byte_length <= 1000 for r in part)
+        assert part[0].byte_offset == 2000 * "abcd".index(chunk) and part[-1].byte_offset + part[-1].byte_length == part[0].byte_offset + len(text)
