@@ -11,6 +11,7 @@ from foliant.functions.text import heading, snippet
 from foliant.functions.vectors import cosine, fault
 from foliant.operators import access, changes, dedup, extract, graph, intervals, search, topics
 from foliant.operators.components import connected_components
+from foliant.plans.queries import QUERIES
 from foliant.sources import files
 
 
@@ -85,6 +86,23 @@ def test_reach_paths_cycles(spark):
     assert (3, 2, 1) in rows(graph.degrees(edges))
 
 
+def test_promise_paths_start_at_every_entity(spark, tmp_path):
+    names = {1: "Ann", 7: "Bob", 100: "Cy", 205: "Dee", 9: "Eve"}
+    said = [("ann", "Bob", 0.5), ("Ann ", "bob", 0.8), ("bob", "cy", None), ("cy", "ann", 1.0), ("Cy", "DEE", 0.9), ("dee", "eve", 0.4), ("dee", "dee", 1.0), ("eve", "nobody", 1.0)]
+    spark.createDataFrame([(k, "person", v) for k, v in names.items()], "entity_id bigint, entity_type string, name string").write.parquet(f"{tmp_path}/entities.parquet")
+    acts = [(i, i, a, b, c, 1, 1) for i, (a, b, c) in enumerate(said)]
+    spark.createDataFrame(acts, "action_id bigint, document_id bigint, commitment_by string, commitment_to string, confidence double, ingested_at int, detected_at int").write.parquet(f"{tmp_path}/detected_actions.parquet")
+    edges = {(1, 7): 0.8, (7, 100): 0.5, (100, 1): 1.0, (100, 205): 0.9, (205, 9): 0.4}
+    want = {}
+    for n in (2, 3, 4):
+        for path in itertools.permutations(names, n):
+            w = [edges.get(e) for e in itertools.pairwise(path)]
+            if all(w):
+                want[">".join(map(str, path))] = (path[0], n - 1, round(math.prod(w) ** (1 / (n - 1)), 6))
+    got = {r.path: (r.seed, r.depth, r.strength) for r in QUERIES["promise_paths"](spark, str(tmp_path)).collect()}
+    assert got == want and {v[0] for v in want.values()} == {1, 7, 100, 205}
+
+
 def test_merge_and_unlink(spark):
     same = spark.createDataFrame([(2, 1), (3, 2)], "a int, b int")
     edges = spark.createDataFrame([(2, 3, "d1", 0.4), (3, 9, "d1", 0.4), (1, 9, "d2", 0.9), (8, 9, None, 0.1)], "src int, dst int, document_id string, confidence double")
