@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import re
 
 import numpy as np
 import pytest
@@ -61,6 +62,27 @@ def test_snippet_and_heading(spark):
     assert got[1].s == "short word1" and got[2].s is None and got[0].h == "Title here" and got[1].h is None
 
 
+def test_documents_without_heading_are_queries(spark, tmp_path):
+    texts = {100: "# Red Boat\nleft the harbour", 200: "blue boat in the harbour", 300: "# ---\ngreen tree", 400: None, 500: "", 7: "red tree by the boat", 8: "blue harbour blue"}
+    asked = {100: {"red", "boat"}, 200: {"blue", "boat", "in", "the", "harbour"}, 300: {"green", "tree"}}
+    spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = {d: [w for w in re.split("[^a-z]+", t.lower()) if w] for d, t in texts.items() if t}
+    mean = sum(map(len, docs.values())) / len(docs)
+    df = {w: sum(w in d for d in docs.values()) for d in docs.values() for w in d}
+    want = {}
+    for q, terms in asked.items():
+        for d, words in docs.items():
+            parts = [math.log(1 + (len(docs) - df[t] + 0.5) / (df[t] + 0.5)) * words.count(t) * 2.2 / (words.count(t) + 1.2 * (0.25 + 0.75 * len(words) / mean)) for t in terms if t in words]
+            if parts:
+                want[q, d] = round(sum(parts), 5)
+    folder = str(tmp_path)
+    assert {(r.query_id, r.doc): round(r.score, 5) for r in QUERIES["bm25_search"](spark, folder).collect()} == pytest.approx(want, abs=2e-5)
+    snippets = QUERIES["bm25_snippets"](spark, folder).collect()
+    assert {r.query_id for r in snippets} == set(asked) and {r.term for r in snippets if r.query_id == 200} == {"harbour"}
+    marked = QUERIES["highlighted_hits"](spark, folder).collect()
+    assert {texts[r.doc][r.start : r.stop].lower() for r in marked if r.query_id == 300 and r.doc == 7} == {"tree"} and {r.query_id for r in marked} == set(asked)
+
+
 def test_vector_functions(spark):
     df = spark.createDataFrame([([3.0, 4.0], [3.0, 4.0]), ([0.0, 0.0], [1.0, 1.0]), ([1.0], [1.0, 2.0])], "a array<double>, b array<double>")
     assert [round(r.c, 9) for r in df.select(cosine(F.col("a"), F.col("b")).alias("c")).collect()] == [1.0, 0.0, 0.0]
