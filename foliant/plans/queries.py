@@ -143,11 +143,10 @@ def feedback_terms(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def name_typos(spark: SparkSession, folder: str) -> DataFrame:
-    """Words of typed names that are one edit from a word of a person's name."""
-    plain = F.col("term").rlike("^[a-z]{3,}$")
-    known = table(spark, folder, "entities").filter("entity_type = 'person'").select(F.explode(tokens(F.col("name"))).alias("term")).filter(plain)
+    """Words of typed names that are one edit from a word of a person's or an organization's name."""
+    known = table(spark, folder, "entities").filter("entity_type in ('person', 'organization')").select(F.explode(tokens(F.col("name"))).alias("term"))
     typed = table(spark, folder, "detected_actions").select(F.explode(F.flatten(F.array_compact(F.array(*[tokens(F.col(c)) for c in ("commitment_by", "commitment_to", "follow_up_with")])))).alias("term"))
-    return search.edit_neighbours(known, typed.filter(plain).distinct(), 1)
+    return search.edit_neighbours(known, typed.distinct(), 1)
 
 
 @query

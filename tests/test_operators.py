@@ -54,6 +54,28 @@ def test_edit_neighbours_against_brute_force(spark):
     assert got == want
 
 
+def test_name_typos_of_any_letters(spark, tmp_path):
+    known = [("person", "Søren Thaligård"), ("person", "Łukasz Bo"), ("organization", "Hafen Jürgen 24"), ("topic", "Sailing"), ("person", None)]
+    typed = [("soren thaligard", "Sören", None), ("Łukas", "Thaligåd", "bø"), ("Jurgen", "Hafem 25", "Søren"), ("sailin", "Jürgn", "z")]
+    spark.createDataFrame(known, "entity_type string, name string").write.parquet(f"{tmp_path}/entities.parquet")
+    spark.createDataFrame(typed, "commitment_by string, commitment_to string, follow_up_with string").write.parquet(f"{tmp_path}/detected_actions.parquet")
+
+    def edits(a, b):
+        line = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(line[j] + 1, new[-1] + 1, line[j - 1] + (x != y)))
+            line = new
+        return line[-1]
+
+    words = {w for kind, name in known if name and kind != "topic" for w in name.lower().split()}
+    near = {w for row in typed for name in row if name for w in name.lower().split()}
+    want = sorted((a, b, 1) for a in words for b in near if edits(a, b) == 1)
+    assert rows(QUERIES["name_typos"](spark, str(tmp_path)), "term", "near", "edits") == want
+    assert {("søren", "soren", 1), ("łukasz", "łukas", 1), ("bo", "bø", 1), ("jürgen", "jurgen", 1), ("hafen", "hafem", 1), ("24", "25", 1)} <= set(want)
+
+
 def test_snippet_and_heading(spark):
     text = "## Title here\n" + " ".join(f"word{i}" for i in range(200))
     df = spark.createDataFrame([(text, "word150"), ("short word1", "word1"), (None, "x")], "t string, q string")
