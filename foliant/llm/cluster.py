@@ -10,6 +10,8 @@
    `merge` are one group, as denser knots inside a group would otherwise be groups of their own.
 5. Every row gets the group whose middle its vector is most similar to, or none below `stray`; the middles are set anew from all their rows,
    a few times.
+6. The rows left as strays are grouped again, whatever their share of all rows, and groups of at least `min_rows` whose rows have a mean similarity
+   of `coherent` to their middle are added, until there is none: strays near each other by chance stay just above `stray`.
 """
 
 from __future__ import annotations
@@ -112,22 +114,8 @@ def set_groups(sets: DataFrame, anchors: int, threshold: float, bands: int = 16,
     return up.select("sid", F.col("to").alias("medoid"))
 
 
-def direction_groups(
-    df: DataFrame, id_col: str, vector_col: str, dim: int = 64, anchors: int = 256, near: int = 4, threshold: float = 0.5, min_share: float = 0.002,
-    merge: float = 0.6, stray: float = 0.4, rounds: int = 3, sample_rows: int = 20_000,
-) -> DataFrame:
-    """(item_id, group_no, similarity): the broad group of every usable vector, null for a stray one, and the similarity to the group's middle.
-
-    Usable is a vector of `dim` finite numbers, not all zero, with an id; repeated rows of an item come out once. Groups are numbered from 0, the
-    largest first. An empty table gives no rows. Other columns are ignored. Anchors are fitted on about `sample_rows` vectors, all else covers
-    all rows.
-    """
-    spark = df.sparkSession
-    units = saved(usable_vectors(df, id_col, vector_col, dim), "units")
-    kind = units.schema["item_id"].dataType.simpleString()
-    n = units.count()
-    if not n:
-        return spark.createDataFrame([], f"item_id {kind}, group_no int, similarity double")
+def first_middles(units: DataFrame, n: int, least: float, most: int | None, dim: int, anchors: int, near: int, threshold: float, merge: float, stray: float, sample_rows: int) -> np.ndarray:
+    """Middles of the medoid groups of n rows that weigh `least`, of the `most` heaviest if given, merged."""
     sample = matrix(units.sample(min(1.0, 1.2 * sample_rows / n), seed=7).select("unit").limit(2 * sample_rows).toArrow()["unit"], dim)
     if not len(sample):
         sample = matrix(units.select("unit").limit(sample_rows).toArrow()["unit"], dim)
@@ -152,36 +140,92 @@ def direction_groups(
     shares = sets.join(groups, "sid").select("medoid", (F.col("w") / F.size("f")).alias("w"), F.explode("f").alias("anchor"))
     total = shares.groupBy("medoid", "anchor").agg(F.sum("w").alias("w"))
     all_of = W.partitionBy("medoid")
-    heavy = total.withColumn("all", F.sum("w").over(all_of)).filter(F.col("all") >= max(1.0, min_share * n)).select("medoid", "anchor", "w").toPandas()  # 1/min_share medoids at most
+    heavy = total.withColumn("all", F.sum("w").over(all_of)).filter(F.col("all") >= least)
+    if most:
+        top = heavy.select("medoid", "all").distinct().orderBy(F.desc("all"), "medoid").limit(most)
+        heavy = heavy.join(F.broadcast(top.select("medoid")), "medoid", "left_semi")
+    heavy = heavy.select("medoid", "anchor", "w").toPandas()
     middles = np.zeros((0, dim))
     weights = []
     for _, g in heavy.groupby("medoid", sort=True):
         middles = np.vstack([middles, (points[g["anchor"]] * g["w"].to_numpy()[:, None]).sum(axis=0)])
         weights.append(g["w"].sum())
     if not len(middles):
-        return units.select("item_id", F.lit(None).cast("int").alias("group_no"), F.lit(None).cast("double").alias("similarity")).distinct()
-    middles = merge_middles(middles / np.linalg.norm(middles, axis=1, keepdims=True), np.array(weights), merge)
+        return middles
+    return merge_middles(middles / np.linalg.norm(middles, axis=1, keepdims=True), np.array(weights), merge)
 
-    for _ in range(rounds):
 
-        def sums(batches: Iterator[pa.RecordBatch], middles: np.ndarray = middles) -> Iterator[pa.RecordBatch]:
-            at_sum, count = np.zeros((len(middles), dim)), np.zeros(len(middles), np.int64)
+def moved_middles(units: DataFrame, middles: np.ndarray, dim: int, stray: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The middles set anew from the rows most similar to each, none below `stray`; their rows, and these rows' mean similarity to them."""
+
+    def sums(batches: Iterator[pa.RecordBatch], middles: np.ndarray = middles) -> Iterator[pa.RecordBatch]:
+        at_sum, count = np.zeros((len(middles), dim)), np.zeros(len(middles), np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                x = matrix(batch.column("unit"), dim)
+                s = x @ middles.T
+                at, best = np.argmax(s, axis=1), s.max(axis=1)
+                good = best >= stray
+                np.add.at(at_sum, at[good], x[good])
+                count += np.bincount(at[good], minlength=len(middles))
+        lists = pa.ListArray.from_arrays(np.arange(0, dim * (len(middles) + 1), dim, dtype=np.int32), pa.array(at_sum.ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(middles), dtype=np.int32)), lists, pa.array(count)], ["g", "total", "n"])
+
+    part = units.mapInArrow(sums, "g int, total array<double>, n bigint")
+    rows = part.groupBy("g").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.get("total", F.lit(d))) for d in range(dim)]).alias("total")).filter("n > 0").collect()  # one row a group
+    weights = np.array([r["n"] for r in rows])
+    total = np.array([r["total"] for r in rows]).reshape(-1, dim)
+    norm = np.linalg.norm(total, axis=1)
+    return total / norm[:, None], weights, norm / weights
+
+
+def direction_groups(
+    df: DataFrame, id_col: str, vector_col: str, dim: int = 64, anchors: int = 256, near: int = 4, threshold: float = 0.5, min_share: float = 0.002,
+    merge: float = 0.6, stray: float = 0.4, rounds: int = 3, sample_rows: int = 20_000, min_rows: int = 8, coherent: float = 0.55,
+) -> DataFrame:
+    """(item_id, group_no, similarity): the broad group of every usable vector, null for a stray one, and the similarity to the group's middle.
+
+    Usable is a vector of `dim` finite numbers, not all zero, with an id; repeated rows of an item come out once. Groups are numbered from 0, the
+    largest first. An empty table gives no rows. Other columns are ignored. Anchors are fitted on about `sample_rows` vectors, all else covers
+    all rows.
+    """
+    spark = df.sparkSession
+    units = saved(usable_vectors(df, id_col, vector_col, dim), "units")
+    kind = units.schema["item_id"].dataType.simpleString()
+    n = units.count()
+    if not n:
+        return spark.createDataFrame([], f"item_id {kind}, group_no int, similarity double")
+    fit = {"dim": dim, "anchors": anchors, "near": near, "threshold": threshold, "merge": merge, "stray": stray, "sample_rows": sample_rows}
+    middles = first_middles(units, n, max(1.0, min_share * n), None, **fit)  # 1/min_share middles at most
+    rest, left = units, n
+    while True:
+        for _ in range(rounds if len(middles) else 0):
+            moved, weights, _ = moved_middles(units, middles, dim, stray)
+            middles = merge_middles(moved, weights, merge)
+
+        def strays(batches: Iterator[pa.RecordBatch], middles: np.ndarray = middles) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
-                    x = matrix(batch.column("unit"), dim)
-                    s = x @ middles.T
-                    at, best = np.argmax(s, axis=1), s.max(axis=1)
-                    good = best >= stray
-                    np.add.at(at_sum, at[good], x[good])
-                    count += np.bincount(at[good], minlength=len(middles))
-            lists = pa.ListArray.from_arrays(np.arange(0, dim * (len(middles) + 1), dim, dtype=np.int32), pa.array(at_sum.ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(middles), dtype=np.int32)), lists, pa.array(count)], ["g", "total", "n"])
-
-        part = units.mapInArrow(sums, "g int, total array<double>, n bigint")
-        rows = part.groupBy("g").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.get("total", F.lit(d))) for d in range(dim)]).alias("total")).filter("n > 0").collect()  # one row a group
-        weights = np.array([r["n"] for r in rows])
-        middles = np.array([r["total"] for r in rows])
-        middles = merge_middles(middles / np.linalg.norm(middles, axis=1, keepdims=True), weights, merge)
+                    s = matrix(batch.column("unit"), dim) @ middles.T
+                    yield batch.filter(pa.array(s.max(axis=1, initial=-2) < stray))
+
+        # a group too small for its share of all rows is among the strays: look there until no group is found
+        rest = saved(rest.mapInArrow(strays, rest.schema), "strays")
+        before, left = left, rest.count()
+        if left < min_rows or (left == before and len(middles)):
+            break
+        more = first_middles(rest, left, min_rows, max(1, int(1 / min_share)), **fit)
+        for _ in range(rounds if len(more) else 0):
+            more, weights, alike = moved_middles(rest, more, dim, stray)
+            if not len(more):
+                break
+        real = (weights >= min_rows) & (alike >= coherent) if len(more) else np.zeros(0, bool)
+        if not real.any():
+            break
+        more = merge_middles(more[real], weights[real], merge)
+        middles = np.vstack([middles, more]) if len(middles) else more
+    if not len(middles):
+        return units.select("item_id", F.lit(None).cast("int").alias("group_no"), F.lit(None).cast("double").alias("similarity")).distinct()
 
     def assign(batches: Iterator[pa.RecordBatch], middles: np.ndarray = middles) -> Iterator[pa.RecordBatch]:
         for batch in batches:

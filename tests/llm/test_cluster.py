@@ -29,6 +29,19 @@ def test_groups_knots_and_strays(spark):
     assert report[0].n_rows == 900 and report[0].n_documents == 7 and len(report[3].typical) == 3 and report[None].n_rows == 60
 
 
+def test_small_groups_beside_large_ones(spark):
+    rng = np.random.default_rng(5)
+    middle = np.linalg.qr(rng.normal(size=(64, 64)))[0][:4]
+    size = [3000, 2000, 40, 15]
+    x = np.vstack([middle[k] + 0.1 * rng.normal(size=(n, 64)) for k, n in enumerate(size)])
+    stray = rng.normal(size=(200, 64))
+    stray -= stray @ middle.T @ middle
+    label = np.repeat(np.arange(4), size).tolist() + [None] * len(stray)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(np.vstack([x, stray]))], "id int, v array<double>")
+    got = {r.item_id: r.group_no for r in direction_groups(df, "id", "v", min_share=0.01).collect()}
+    assert [got[i] for i in range(len(label))] == label
+
+
 def test_few_rows_and_none(spark):
     df = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 0.01])], "id string, v array<double>")
     assert {r.group_no for r in direction_groups(df, "id", "v", dim=2).collect()} == {0}
