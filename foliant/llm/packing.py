@@ -1,8 +1,8 @@
 """Filling containers of fixed capacity with lexically related texts (problem 6).
 
-Texts are hashed into shards of a bounded number of rows. Each shard is a BM25 inverted index in one task: the longest unused text seeds a
-container, the index returns its unused neighbours, which fill the window in the order of their scores; the last gap is closed by the unused
-texts whose lengths fit it best.
+Texts are sorted by their rarest word that some others have too, and the order is cut into shards of a bounded number of rows. Each shard is a BM25
+inverted index in one task: the longest unused text seeds a container, the index returns its unused neighbours, which fill the window in the order of
+their scores up to a reserve; that is closed by the unused texts whose lengths fit it best, or, where none is related, filled by such texts alone.
 """
 
 from __future__ import annotations
@@ -17,9 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.tokens import TOKENIZERS, encoding
+from foliant.session import saved
 
 _WORD = re.compile(r"[^\W_]+")
 K1, B = 1.2, 0.75
+SKETCH = 1 << 18
 
 
 class Lexicon:
@@ -36,17 +38,18 @@ class Lexicon:
         idf = np.log(1 + (self.n - count + 0.5) / (count + 0.5))
         length = sizes / max(sizes.mean(), 1e-9)
         self.weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[self.row]))
-        own = np.lexsort((-idf[term], self.row))
-        self.own, self.idf, self.count = term[own], idf, count
+        own = np.argsort(self.row, kind="stable")
+        self.own, self.count = term[own], count
         self.first = np.searchsorted(self.row[own], np.arange(self.n + 1))
 
-    def scores(self, seed: int, most_terms: int) -> np.ndarray:
-        """Of every row, for the seed's rarest terms that others share."""
+    def scores(self, seed: int) -> np.ndarray:
+        """Of every row, for all of the seed's terms that others share."""
         t = self.own[self.first[seed] : self.first[seed + 1]]
-        t = t[self.count[t] > 1][:most_terms]
+        t = t[self.count[t] > 1]
         if not len(t):
             return np.zeros(self.n)
-        at = np.concatenate([np.arange(self.start[k], self.start[k + 1]) for k in t])
+        size = self.count[t]
+        at = np.repeat(self.start[t] - np.cumsum(size) + size, size) + np.arange(size.sum())
         return np.bincount(self.row[at], self.weight[at], self.n)
 
 
@@ -92,23 +95,23 @@ class Gaps:
         return [one]
 
 
-def fill(sizes: np.ndarray, terms: np.ndarray, term_sizes: np.ndarray, capacity: int, most_terms: int = 16) -> tuple[np.ndarray, np.ndarray]:
-    """(container, place) of each row; sizes are from 1 to capacity."""
+def fill(sizes: np.ndarray, terms: np.ndarray, term_sizes: np.ndarray, capacity: int, reserve: int) -> tuple[np.ndarray, np.ndarray]:
+    """(container, place) of each row; sizes are from 1 to capacity. Neighbours are taken, best first, while more than `reserve` is free and they leave
+    none of it negative."""
     index, gaps = Lexicon(terms, term_sizes), Gaps(sizes, capacity)
     container, place = np.full(len(sizes), -1), np.zeros(len(sizes), np.int64)
-    typical = int(np.median(sizes)) if len(sizes) else 0
     number = 0
     for seed in np.argsort(-sizes, kind="stable"):
         if gaps.used[seed]:
             continue
         gaps.take(seed, sizes[seed])
         inside, free = [int(seed)], capacity - int(sizes[seed])
-        if free >= 3 * typical:
-            score = index.scores(int(seed), most_terms)
+        if free > reserve:
+            score = index.scores(int(seed))
             score[gaps.used] = 0
             near = np.flatnonzero((score > 0) & (sizes <= free))
-            for r in near[np.argsort(-score[near], kind="stable")[:64]]:
-                if free < 3 * typical:  # the rest is left to lengths that fit
+            for r in near[np.argsort(-score[near], kind="stable")]:
+                if free <= reserve:
                     break
                 if sizes[r] <= free:
                     gaps.take(r, sizes[r])
@@ -124,28 +127,29 @@ def fill(sizes: np.ndarray, terms: np.ndarray, term_sizes: np.ndarray, capacity:
     return container, place
 
 
-def packed(df: DataFrame, id_col: str, text_col: str, capacity: int = 2048, shard_rows: int = 4096, folder: str = TOKENIZERS) -> DataFrame:
+def packed(df: DataFrame, id_col: str, text_col: str, capacity: int = 2048, shard_rows: int = 4096, reserve: float = 0.25, company: int = 16, folder: str = TOKENIZERS) -> DataFrame:
     """(item_id, piece_no, token_start, n_tokens, container, place) for every text with tokens; container is an opaque string, place counts from 0.
 
     A text longer than `capacity` tokens becomes pieces of exactly that many and a rest; nothing else is split, and no container exceeds the
     capacity. Null and empty texts have no tokens and no row; rows with a null id and repeated rows are placed like any others. Other columns are
-    ignored. Every shard may leave one container partly filled.
+    ignored. Texts that share a word which at least `company` texts have, but no rarer one of that kind, stand together, so that neighbours are in one
+    shard of about `shard_rows` texts; equal words are shared out by a hash, so no shard is larger for a word that all have. Every shard may leave one
+    container partly filled. The last `reserve` of a container is left to lengths that fit.
     """
-    spark = df.sparkSession
     given = df.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text")).filter("text <> ''")
     kind = given.schema["item_id"].dataType.simpleString()
-    shards = max(1, -(-given.count() // shard_rows))
+    result = f"item_id {kind}, piece_no int, token_start bigint, n_tokens int, container string, place int"
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(folder)
         known: dict[str, int] = {}
         for batch in batches:
-            item, no, start, size, words, shard = [], [], [], [], [], []
-            names = batch.column("item_id").to_pylist()
+            item, no, start, size, words, salt = [], [], [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 ids = enc.encode_ordinary(text)
                 tokens = len(ids)
                 rest = tokens % capacity
+                mark = xxhash.xxh64_intdigest(text)
                 for k in range(tokens // capacity + (rest > 0)):
                     whole = (k + 1) * capacity <= tokens
                     item.append(i)
@@ -158,21 +162,49 @@ def packed(df: DataFrame, id_col: str, text_col: str, capacity: int = 2048, shar
                         if w not in known:
                             known[w] = xxhash.xxh32_intdigest(w) - (1 << 31)
                     words.append([known[w] for w in found])
-                    shard.append(xxhash.xxh64_intdigest(f"{names[i]} {i} {k}") % shards)  # copies are spread
+                    salt.append((mark + k * 0x9E3779B97F4A7C15) % (1 << 62))
             if len(known) > 1_000_000:
                 known.clear()
             yield pa.RecordBatch.from_arrays([
-                batch.column("item_id").take(pa.array(item, pa.int64())), pa.array(no, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int32()), pa.array(words, pa.list_(pa.int32())), pa.array(shard, pa.int32()),
-            ], ["item_id", "piece_no", "token_start", "n_tokens", "words", "shard"])
-
-    cut = given.mapInArrow(pieces, f"item_id {kind}, piece_no int, token_start bigint, n_tokens int, words array<int>, shard int")
-
-    def pack(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        rows = rows.combine_chunks()
-        lists = rows["words"].combine_chunks() if isinstance(rows["words"], pa.ChunkedArray) else rows["words"]
+                batch.column("item_id").take(pa.array(item, pa.int64())), pa.array(no, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int32()), pa.array(words, pa.list_(pa.int32())), pa.array(salt, pa.int64()),
+            ], ["item_id", "piece_no", "token_start", "n_tokens", "words", "salt"])
+
+    cut = saved(given.mapInArrow(pieces, f"item_id {kind}, piece_no int, token_start bigint, n_tokens int, words array<int>, salt bigint"), "pieces")
+    n = cut.count()
+    if not n:
+        return df.sparkSession.createDataFrame([], result)
+    counts = np.zeros(SKETCH, np.int64)  # texts that have a word, by hash
+    seen = cut.select(F.explode(F.array_distinct("words")).alias("w")).groupBy(F.col("w").bitwiseAND(F.lit(SKETCH - 1)).alias("k")).count().toArrow()  # at most SKETCH rows
+    counts[seen["k"].to_numpy()] = seen["count"].to_numpy()
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("words")
+            flat, size = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+            row = np.repeat(np.arange(len(size)), size)
+            often = counts[flat & (SKETCH - 1)]
+            row, flat, often = row[often >= company], flat[often >= company], often[often >= company]
+            order = np.lexsort((flat, often, row))
+            row, flat = row[order], flat[order]
+            first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
+            key = batch.column("salt").to_numpy() >> 20  # where no word is shared, anywhere
+            key = key % (1 << 32) - (1 << 31)
+            key[row[first]] = flat[first]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key)], [*batch.schema.names, "key"])
+
+    sorted_ = cut.mapInArrow(keyed, f"item_id {kind}, piece_no int, token_start bigint, n_tokens int, words array<int>, salt bigint, key bigint")
+    # the order is total but for repeated rows, so shards are cut within the texts of a frequent word too
+    ranged = sorted_.repartitionByRange(max(1, -(-n // shard_rows)), "key", "salt", "item_id").withColumn("shard", F.spark_partition_id())
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        rows = pa.Table.from_batches(parts).combine_chunks().sort_by([("salt", "ascending"), ("piece_no", "ascending")])
+        lists = rows["words"].combine_chunks()
         sizes = rows["n_tokens"].to_numpy().astype(np.int64)
-        container, place = fill(sizes, lists.flatten().to_numpy(), lists.value_lengths().to_numpy(), capacity)
-        names = pa.array([f"{key[0].as_py()}-{c}" for c in container])
-        return rows.select(["item_id", "piece_no", "token_start", "n_tokens"]).append_column("container", names).append_column("place", pa.array(place.astype(np.int32)))
+        container, place = fill(sizes, lists.flatten().to_numpy(), lists.value_lengths().to_numpy(), capacity, int(reserve * capacity))
+        names = pa.array([f"{k}-{c}" for k, c in zip(rows["shard"].to_pylist(), container)])
+        yield from rows.select(["item_id", "piece_no", "token_start", "n_tokens"]).append_column("container", names).append_column("place", pa.array(place.astype(np.int32))).to_batches()
 
-    return cut.groupBy("shard").applyInArrow(pack, f"item_id {kind}, piece_no int, token_start bigint, n_tokens int, container string, place int")
+    return ranged.mapInArrow(pack, result)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from foliant.llm.cluster import direction_groups, group_report
 from foliant.llm.garbled import garbled_texts
 from foliant.llm.hnsw import most_similar
-from foliant.llm.mixing import mixed
+from foliant.llm.mixing import mixed, shuffled_copies
 from foliant.llm.names import link_names
 from foliant.llm.near import near_duplicate_classes, near_duplicate_groups, near_duplicate_pairs
 from foliant.llm.packing import packed
@@ -109,6 +109,11 @@ def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
     return _mix(spark, folder)[0].select(F.col("item_id").alias("doc_id"), "source", "n_tokens", "n_uses", "place")
 
 
+def p7_copies(spark: SparkSession, folder: str) -> DataFrame:
+    """The mix itself: every use of every chosen text as a row, in one global order over all sources."""
+    return shuffled_copies(_mix(spark, folder)[0]).withColumnRenamed("item_id", "doc_id")
+
+
 def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mix(spark, folder)[1]
 
@@ -122,7 +127,7 @@ def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
     return garbled_texts(table(spark, folder, "documents"), "doc_id", "text", "source").withColumnRenamed("item_id", "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p5_found": p5_found, "p5_groups": p5_groups, "p6_containers": p6_containers, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_restored": p8_restored}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p5_found": p5_found, "p5_groups": p5_groups, "p6_containers": p6_containers, "p7_mix": p7_mix, "p7_copies": p7_copies, "p7_shares": p7_shares, "p8_found": p8_found, "p8_restored": p8_restored}
 
 ORACLES: dict[str, str] = {
     "p1_found": """
