@@ -1,10 +1,11 @@
 """Linking typed variants of names to the entities meant (problem 4).
 
 Entities and typed names are written in plain forms (lower case, no accents, no titles or legal endings, reordered parts turned round, nicknames
-and initials as forms of their own, each with a cost). Every entity form is cut into 2k+1 segments; as k typos (a swap of neighbours counts as
-one) harm at most 2k of them, a name within k typos has one segment unharmed, at most k places aside. The segments are an inverted index that
-the names' substrings are looked up in; what they find is verified by a banded edit distance. Of the entities found the cheapest counts, if it
-is the only one.
+and initials as forms of their own, each with a cost). Every entity form is cut into k+1 segments, k being the typos allowed in it. A typo harms one of
+them, so a name within k typos has one unharmed, at most k places aside; only a swap of neighbours, which counts as one typo, harms two where it
+crosses a cut. So the two segments beside each cut are in the index with the letters at the cut swapped as well: either one of these is found, or no
+swap crosses that cut. The segments are an inverted index that the names' substrings are looked up in; what they find is verified by a banded edit
+distance. Of the entities found the cheapest counts, if it is the only one.
 """
 
 from __future__ import annotations
@@ -14,9 +15,11 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.session import saved
+
 # fixed values: short forms of given names
 NICKNAMES = {
     "abigail": "abby gail", "alexander": "alex sasha sandy", "andrew": "andy drew", "anthony": "tony", "barbara": "barb barbie", "benjamin": "ben benny",
@@ -36,7 +39,7 @@ NICKNAMES = {
 LEGAL = {"ag", "co", "company", "cooperative", "coop", "corp", "corporation", "gmbh", "inc", "incorporated", "limited", "llc", "ltd", "plc", "sa"}
 TITLES = {"dr", "prof", "mr", "mrs", "ms", "miss", "sir", "the"}
 WORDS = {"assoc": "associates", "assocs": "associates", "bros": "brothers", "grp": "group", "intl": "international", "mfg": "manufacturing", "svc": "services", "svcs": "services", "sys": "systems", "and": ""}
-NO_NAMES = {"", "client", "everyone", "i", "me", "myself", "self", "support", "tbd", "team", "the", "them", "they", "we", "us", "you", "who", "n a", "none", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"}
+NO_NAMES = frozenset({"", "client", "everyone", "i", "me", "myself", "self", "support", "tbd", "team", "the", "them", "they", "we", "us", "you", "who", "n a", "none", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"})
 _PLAIN = str.maketrans({"ł": "l", "ø": "o", "đ": "d", "ß": "ss", "æ": "ae", "œ": "oe", "þ": "th", "ı": "i", "ð": "d"})
 
 
@@ -101,11 +104,11 @@ def entity_forms(kind: str, name: str) -> list[tuple[str, float, str]]:
     return [(f, c, mid) for f, c in out.items()]
 
 
-def name_forms(name: str) -> list[tuple[str, float, str]]:
+def name_forms(name: str, no_names: frozenset[str] = NO_NAMES) -> list[tuple[str, float, str]]:
     """(form, cost, middle initial) of a typed name; none if it is no name."""
     handle = name.strip().startswith("@")
     t = plain_tokens(name)
-    if " ".join(w for w in t if w != "the") in NO_NAMES or not t:
+    if " ".join(w for w in t if w != "the") in no_names or not t:
         return []
     t = [w for w in t if w not in TITLES] or t
     words = [w for w in (WORDS.get(w, w) for w in t) if w and w not in LEGAL] or t
@@ -177,61 +180,84 @@ def _forms(df: DataFrame, make, columns: list[str], schema: str) -> DataFrame:
     return df.select(*columns).mapInPandas(run, schema)
 
 
-def link_names(names: DataFrame, name_col: str, entities: DataFrame, id_col: str = "entity_id", entity_name: str = "name", aliases: str = "aliases", kind_col: str = "entity_type", margin: float = 0.3) -> DataFrame:
-    """(typed_name, entity_id, cost): for every distinct typed name that means exactly one entity, that entity.
+def segment_index(forms: DataFrame) -> DataFrame:
+    """(known_form, len, no, piece) of forms (one column `form`): the k+1 segments of each, and those beside a cut with the letters at the cut swapped."""
+    n = F.length("form")
+    cut = forms.select(F.col("form").alias("known_form"), n.alias("len"), allowed(n).alias("k"))
+    step = F.floor(F.col("len") / (F.col("k") + 1)).cast("int")
 
-    The cost is the number of typos plus the costs of the forms; a middle initial that contradicts the entity's adds 1. A name of which another
-    entity is within `margin` of the cheapest one's cost fits several and gets no row; neither do null or blank names, pronouns, weekdays and other
-    words that are no names. Null aliases count as none; entities without an id or name are left out; repeated entity rows count once. Other
-    columns are ignored.
-    """
-    typed = names.select(F.col(name_col).alias("typed_name")).filter("trim(typed_name) <> ''").distinct()
-    named = (
-        entities.select(F.col(id_col).alias("entity_id"), F.col(kind_col).alias("kind"), F.explode(F.array_compact(F.array_append(F.coalesce(aliases, F.array().cast("array<string>")), F.col(entity_name)))).alias("called"))
-        .filter("entity_id is not null")
-        .distinct()
-    )
-    id_type = named.schema["entity_id"].dataType.simpleString()
-    known = _forms(named, lambda r: entity_forms(r[1], r[2]), ["entity_id", "kind", "called"], f"entity_id {id_type}, kind string, called string, form string, cost double, mid string")
-    known = known.groupBy("entity_id", "form", "mid").agg(F.min("cost").alias("cost"))
-    asked = _forms(typed, lambda r: name_forms(r[0]), ["typed_name"], "typed_name string, form string, cost double, mid string")
+    def piece(form: Column, no: Column) -> Column:
+        return F.struct(no.alias("no"), F.substring(form, no * step + 1, F.when(no == F.col("k"), F.col("len") - no * step).otherwise(step)).alias("piece"))
 
-    # inverted index: of every form 2k+1 segments of equal length, the last one longer
-    n = F.length("form")
-    k = allowed(n)
-    parts = 2 * k + 1
-    index = known.select("form").distinct().select("form", n.alias("len"), k.alias("k"), F.explode(F.sequence(F.lit(0), 2 * k)).alias("no"))
-    step = F.floor(F.col("len") / (2 * F.col("k") + 1)).cast("int")
-    start = F.col("no") * step
-    size = F.when(F.col("no") == 2 * F.col("k"), F.col("len") - start).otherwise(step)
-    index = index.select(F.col("form").alias("known_form"), "len", "no", F.col("form").substr(start + 1, size).alias("piece"))
-
-    # the same places of a name, up to k aside, for forms of every length within k
-    # few bytes but much work: spread over all tasks, whatever their size
-    tasks = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    probe = asked.select("form").distinct().repartition(tasks, "form").withColumn("own", F.length("form"))
+    def swapped(no: Column) -> Column:
+        at = no * step  # the cut before segment no
+        form = F.concat(F.substring("known_form", F.lit(1), at - 1), F.substring("known_form", at + 1, F.lit(1)), F.substring("known_form", at, F.lit(1)), F.substring("known_form", at + 2, F.col("len")))
+        return F.array(piece(form, no - 1), piece(form, no))
+
+    whole = F.transform(F.sequence(F.lit(0), "k"), lambda no: piece(F.col("known_form"), no))
+    crossed = F.when(F.col("k") > 0, F.flatten(F.transform(F.sequence(F.lit(1), F.greatest("k", F.lit(1))), swapped))).otherwise(F.array().cast("array<struct<no: int, piece: string>>"))
+    return cut.select("known_form", "len", F.explode(F.array_distinct(F.concat(whole, crossed))).alias("x")).select("known_form", "len", "x.no", "x.piece")
+
+
+def segment_probes(forms: DataFrame) -> DataFrame:
+    """(form, len, no, piece) of typed forms (one column `form`): the substrings where a known form of `len` letters, within its typos of this length, may
+    have its segment `no`, up to k places aside."""
+    probe = forms.withColumn("own", F.length("form"))
     probe = probe.select("form", "own", F.explode(F.sequence(F.greatest(F.col("own") - 2, F.lit(2)), F.col("own") + 2)).alias("len"))
     probe = probe.withColumn("k", allowed(F.col("len"))).filter(F.abs(F.col("len") - F.col("own")) <= F.col("k"))
-    probe = probe.select("form", "own", "len", "k", F.explode(F.sequence(F.lit(0), 2 * F.col("k"))).alias("no"))
+    probe = probe.select("form", "own", "len", "k", F.explode(F.sequence(F.lit(0), "k")).alias("no"))
     probe = probe.select("form", "own", "len", "no", "k", F.explode(F.sequence(-F.col("k"), F.col("k"))).alias("shift"))
-    begin = F.col("no") * step + F.col("shift")
+    step = F.floor(F.col("len") / (F.col("k") + 1)).cast("int")
+    begin, size = F.col("no") * step + F.col("shift"), F.when(F.col("no") == F.col("k"), F.col("len") - F.col("no") * step).otherwise(step)
     probe = probe.select("form", "own", "len", "no", begin.alias("begin"), size.alias("size")).filter("begin >= 0 and begin + size <= own")
-    probe = probe.select("form", "len", "no", F.col("form").substr(F.col("begin") + 1, F.col("size")).alias("piece"))
-    met = probe.join(index, ["len", "no", "piece"]).select("form", "known_form").distinct()
-    met = met.filter(F.levenshtein("form", "known_form", 4) >= 0)  # a swap counts as two here
+    return probe.select("form", "len", "no", F.col("form").substr(F.col("begin") + 1, F.col("size")).alias("piece"))
+
+
+def close_forms(asked: DataFrame, known: DataFrame, tasks: int) -> DataFrame:
+    """(form, known_form, typos) for all forms of asked and known (one column `form` each) that are within the typos allowed. Few bytes but much work, so
+    a given number of tasks shares it, which adaptive execution leaves as it is."""
+    by = ["len", "no", "piece"]
+    met = segment_probes(asked).repartition(tasks, *by).join(segment_index(known), by).select("form", "known_form").distinct().repartition(tasks, "form", "known_form")
 
     @F.pandas_udf("int")
     def distance(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([typos(x, y, 2) for x, y in zip(a, b)])
 
-    close = met.withColumn("typos", distance("form", "known_form")).filter(F.col("typos") <= allowed(F.length("known_form")))
-    fits = (
+    near = met.filter(F.levenshtein("form", "known_form", 4) >= 0)  # a swap counts as two here
+    return near.withColumn("typos", distance("form", "known_form")).filter(F.col("typos") <= allowed(F.length("known_form")))
+
+
+def link_names(
+    names: DataFrame, name_col: str, entities: DataFrame, id_col: str = "entity_id", entity_name: str = "name", aliases: str = "aliases", kind_col: str = "entity_type", margin: float = 0.3,
+    no_names: frozenset[str] = NO_NAMES,
+) -> DataFrame:
+    """(typed_name, entity_id, cost): for every distinct typed name that means exactly one entity, that entity.
+
+    The cost is the number of typos plus the costs of the forms; a middle initial that contradicts the entity's adds 1. A name of which another
+    entity is within `margin` of the cheapest one's cost fits several and gets no row; neither do null or blank names and those in `no_names`
+    (pronouns, weekdays and other words that are no names, in lower case). Null aliases count as none; entities without an id or name are left out;
+    repeated entity rows count once. Other columns are ignored.
+    """
+    typed = names.select(F.col(name_col).alias("typed_name")).filter("trim(typed_name) <> ''").distinct()
+    named = (
+        entities.select(F.col(id_col).alias("entity_id"), F.col(kind_col).alias("kind"), F.explode(F.array_compact(F.array_append(F.coalesce(aliases, F.array().cast("array<string>")), F.col(entity_name)))).alias("called"))
+        .filter("entity_id is not null")
+        .distinct()
+    )
+    id_type = named.schema["entity_id"].dataType.simpleString()
+    tasks = 2 * names.sparkSession.sparkContext.defaultParallelism
+    known = _forms(named.repartition(tasks, "called"), lambda r: entity_forms(r[1], r[2]), ["entity_id", "kind", "called"], f"entity_id {id_type}, kind string, called string, form string, cost double, mid string")
+    known = saved(known.groupBy("entity_id", "form", "mid").agg(F.min("cost").alias("cost")), "known-forms")
+    asked = saved(_forms(typed.repartition(tasks, "typed_name"), lambda r: name_forms(r[0], no_names), ["typed_name"], "typed_name string, form string, cost double, mid string"), "typed-forms")
+    close = close_forms(asked.select("form").distinct(), known.select("form").distinct(), tasks)
+    fits = saved(
         asked.withColumnsRenamed({"cost": "c1", "mid": "m1"})
         .join(close, "form")
         .join(known.withColumnsRenamed({"form": "known_form", "cost": "c2", "mid": "m2"}), "known_form")
         .withColumn("cost", F.col("typos") + F.col("c1") + F.col("c2") + F.when((F.col("m1") != "") & (F.col("m2") != "") & (F.col("m1") != F.col("m2")), 1.0).otherwise(0.0))
         .groupBy("typed_name", "entity_id")
-        .agg(F.min("cost").alias("cost"))
+        .agg(F.min("cost").alias("cost")),
+        "fits",
     )
     # the two cheapest entities of a name decide; nothing else is kept
     best = fits.groupBy("typed_name").agg(F.min(F.struct("cost", "entity_id")).alias("first"))

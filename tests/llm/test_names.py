@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from foliant.llm.names import link_names, typos
+from foliant.llm.names import close_forms, link_names, typos
 
 PEOPLE = [(1, "person", "David Kesilrick", []), (2, "person", "Élodie M. Ulmivane", []), (3, "person", "Edward Ostistnov-Wuxewyn", ["Eddie P. Ostistnov-Wuxewyn"]), (4, "person", "Tomás Ellidock", None),
           (5, "person", "Tony Ellidock", []), (6, "organization", "Dovelbel Robotics Brothers GmbH", []), (7, "organization", "Dovelbel Catering Inc", []), (8, "person", "Łukasz de la Branere", []),
@@ -70,3 +70,26 @@ def test_every_form_within_two_typos_is_met(spark):
                 cases["".join(w)] = i
     got = {r.typed_name: r.entity_id for r in link_names(spark.createDataFrame([(c,) for c in cases], "n string"), "n", entities).collect()}
     assert len(cases) > 100 and got == cases
+
+
+def test_close_forms_against_brute_force(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcd") for _ in range(rng.randrange(2, 13))) for _ in range(60)]
+    known, asked = set(words), set(words)
+    for w in words:
+        for _ in range(6):
+            x = list(w)
+            for _ in range(rng.randrange(3)):
+                k = rng.randrange(len(x))
+                x[k : k + 2] = rng.choice([x[k : k + 2][::-1], x[k : k + 1], ["e", *x[k : k + 2]], ["e", *x[k + 1 : k + 2]]])
+            if len(x) > 1:
+                asked.add("".join(x))
+    got = {(r.form, r.known_form, r.typos) for r in close_forms(*(spark.createDataFrame([(w,) for w in s], "form string") for s in (asked, known)), 3).collect()}
+    most = lambda n: 0 if n < 5 else 1 if n < 9 else 2
+    assert got == {(a, b, full_distance(a, b)) for a in asked for b in known if full_distance(a, b) <= most(len(b))}
+
+
+def test_words_that_are_no_names(spark):
+    entities = spark.createDataFrame([(1, "organization", "Support", [])], "entity_id int, entity_type string, name string, aliases array<string>")
+    names = spark.createDataFrame([("support",)], "n string")
+    assert link_names(names, "n", entities).count() == 0 and link_names(names, "n", entities, no_names=frozenset()).count() == 1
