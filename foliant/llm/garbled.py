@@ -1,10 +1,15 @@
 """Texts that were decoded with a wrong character encoding (problem 8).
 
 A wrong decoding is a substitution cipher: the letter that was written stands as the letter, or letters, that another code page has for its
-bytes. The ciphers are the pairs of a written and a read code page, each a table for translate(). Which of them a source's texts went through is
-unknown and learned by expectation-maximization: given the letter bigrams and word counts of the language, every text has a probability for each
-cipher, and from these come each source's frequency of each cipher and, with the garbled texts left out, the bigrams and counts of the next
-round. Only tokens with a character beyond ASCII take part; the others are the same under every cipher.
+bytes. Which ciphers a source's texts went through is learned by expectation-maximization against the letter bigrams and word counts of the language:
+
+* Known ciphers are the pairs of a written and a read code page, each a table for translate(). Every text has a probability for each of them, and
+  from these come each source's frequency of each cipher and, with the garbled texts left out, the bigrams and counts of the next round.
+* Every source has one free table besides, for a page that no pair explains. It is learned from the bigrams around the odd characters of what is left,
+  letter by letter, with the known pairs as a weak prior, and applied with translate(); what it makes must be words that occur elsewhere.
+
+Only tokens with a character beyond ASCII take part; the others are the same under every cipher. Distinct tokens are looked at once, and only texts
+with a token that some cipher improves are scored.
 """
 
 from __future__ import annotations
@@ -13,12 +18,12 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.functions.text import source_key
 from foliant.session import saved
 
 # fixed values: code pages (Python's names) that texts were written or read in
@@ -31,6 +36,9 @@ _MULTI = {"gb18030", "shift_jis", "big5"}
 _RUN = re.compile(r"[^\x00-\x7f]+")
 LOST = "�"
 CLASSES, SKETCH, BAD = 1664, 1 << 18, -12.0
+#: Log-probability below which a bigram is a rare one.
+ODD = -4.0
+FREE = "a page learned for the source"
 
 
 def _page(name: str) -> dict[int, str]:
@@ -186,6 +194,13 @@ class Language:
             out[open_[same]] = 0
         return np.maximum(out, BAD)
 
+    def oddest(self, word: str) -> float:
+        """Log-probability of the least likely bigram that has a character beyond ASCII."""
+        padded = f" {word} "
+        x = letter_classes(padded)
+        beyond = np.array([c > "\x7f" for c in padded])
+        return float(self.logs[x[:-1], x[1:]][beyond[:-1] | beyond[1:]].min(initial=0))
+
     def text_scores(self, text: str) -> np.ndarray:
         """For each cipher the summed gain over the sentences it improves; a word counts once a text."""
         total = np.zeros(len(ciphers().names), np.float32)
@@ -222,39 +237,117 @@ class Language:
         return "\n".join(lines)
 
 
-def learned_language(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Log-probabilities of letter bigrams and a sketch of word counts, over the column `text`."""
+def odd_tokens(text: Column) -> Column:
+    """The tokens of a text, between blanks and line breaks, that have a character beyond ASCII."""
+    return F.filter(F.split(text, "[ \n]"), lambda w: w.rlike(r"[^\x00-\x7F]"))
+
+
+def letter_counts(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the bigrams of letter classes and of the words beyond ASCII (hashed), over the column `text`."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, words = np.zeros(CLASSES * CLASSES, np.int64), np.zeros(SKETCH, np.int64)
-        keys: dict[str, int] = {}
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(CLASSES * CLASSES, np.int64)
         for batch in batches:
             column = batch.column("text").to_pylist()
             for i in range(0, len(column), 512):
                 x = letter_classes(" \n ".join(column[i : i + 512]))
-                pairs += np.bincount(x[:-1] * CLASSES + x[1:], minlength=len(pairs))
-            for text in column:
-                for part in segments(text):
-                    for w in part:
-                        k = keys.get(w)
-                        if k is None:
-                            k = keys[w] = word_key(w)
-                        words[k] += 1
-            if len(keys) > 1_000_000:
-                keys.clear()
-        for kind, x in ((0, pairs), (1, words)):
-            some = np.flatnonzero(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), kind, np.int32)), pa.array(some), pa.array(x[some])], ["kind", "k", "n"])
-
-    found = texts.select("text").mapInArrow(count, "kind int, k bigint, n bigint").groupBy("kind", "k").agg(F.sum("n").alias("n")).toPandas()  # CLASSES^2 + SKETCH rows at most
-    pairs, words = np.zeros(CLASSES * CLASSES), np.zeros(SKETCH, np.float32)
-    for kind, out in ((0, pairs), (1, words)):
-        mine = found[found["kind"] == kind]
-        out[mine["k"].to_numpy()] = mine["n"].to_numpy()
-    pairs = pairs.reshape(CLASSES, CLASSES)
+                out += np.bincount(x[:-1] * CLASSES + x[1:], minlength=len(out))
+        some = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(out[some])], ["k", "n"])
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([word_key(w) for w in batch.column("token").to_pylist()], pa.int64()), batch.column("n")], ["k", "n"])
+
+    tokens = texts.select(F.explode(odd_tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    out = []
+    for df, size in ((texts.select("text").mapInArrow(pairs, "k bigint, n bigint"), CLASSES * CLASSES), (tokens.mapInArrow(words, "k bigint, n bigint"), SKETCH)):
+        found, count = df.groupBy("k").agg(F.sum("n").alias("n")).toArrow(), np.zeros(size)  # CLASSES^2 and SKETCH rows at most
+        count[found["k"].to_numpy()] = found["n"].to_numpy()
+        out.append(count)
+    return out[0], out[1]
+
+
+def language_of(pairs: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-probabilities of letter bigrams, and the word counts."""
+    pairs = np.maximum(pairs, 0).reshape(CLASSES, CLASSES)
     alone = pairs.sum(axis=0) + 0.01
     alone /= alone.sum()
-    return np.log((pairs + 5 * alone) / (pairs.sum(axis=1, keepdims=True) + 5)).astype(np.float32), words
+    return np.log((pairs + 5 * alone) / (pairs.sum(axis=1, keepdims=True) + 5)).astype(np.float32), np.maximum(words, 0).astype(np.float32)
+
+
+def learned_table(chars: np.ndarray, before: np.ndarray, after: np.ndarray, n: np.ndarray, logs: np.ndarray, letters: np.ndarray, prior: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the likeliest of `letters`, its probability) for each of `chars`, by expectation-maximization.
+
+    before, after and n are the bigrams there are, as characters and counts; chars are those of them whose letter is unknown, all others stand for
+    themselves. Each round expects the letters of a character from the bigrams with its neighbours, in place of which, where they are unknown too, stand
+    the letters expected of them; all counts together weigh as one in the first round and a quarter more in each, so that no early guess is final. A
+    letter stands as one character, so what is expected of it is shared out to no more than that. prior: log-probability of each letter for each
+    character.
+    """
+    place = {int(c): i for i, c in enumerate(chars)}
+    a, b = (np.array([place.get(int(c), -1) for c in side]) for side in (before, after))
+    own_a, own_b = (letter_classes("".join(map(chr, side))) for side in (before, after))
+    given = np.zeros((len(chars), len(letters)))
+    known = (a < 0) & (b >= 0)
+    np.add.at(given, b[known], n[known, None] * logs[own_a[known]][:, letters])
+    known = (a >= 0) & (b < 0)
+    np.add.at(given, a[known], n[known, None] * logs[:, own_b[known]].T[:, letters])
+    both = np.flatnonzero((a >= 0) & (b >= 0))
+    inner = logs[np.ix_(letters, letters)].astype(float)
+    total = np.bincount(a[a >= 0], n[a >= 0], len(chars)) + np.bincount(b[b >= 0], n[b >= 0], len(chars))
+    q = np.exp(prior - prior.max(axis=1, keepdims=True))
+    q /= q.sum(axis=1, keepdims=True)
+    for r in range(rounds):
+        s = given.copy()
+        np.add.at(s, b[both], n[both, None] * (q[a[both]] @ inner))
+        np.add.at(s, a[both], n[both, None] * (q[b[both]] @ inner.T))
+        s = s * np.minimum(1, 1.25**r / total)[:, None] + prior
+        q = np.exp(s - s.max(axis=1, keepdims=True))
+        for _ in range(5):
+            q /= q.sum(axis=1, keepdims=True)
+            q /= np.maximum(1, q.sum(axis=0))
+    return q.argmax(axis=1), q.max(axis=1)
+
+
+def free_tables(left: DataFrame, logs: np.ndarray, alone: np.ndarray, least: int) -> DataFrame:
+    """(source, char, letter): each source's learned table, of left (source, token, n), tokens with rare bigrams.
+
+    A character takes part that stands in a rare bigram `least` times or more in a source; which letter it is, and whether it is one, shows when words
+    come out. A group is the distinct bigrams of
+    one source, so its size is bounded by the characters there are."""
+    letters = np.array([c for c in range(128, 0x600) if chr(c).isalpha() and chr(c).lower() == chr(c) and alone[c] > 1e-7])
+    schema = "source string, char string, letter string"
+    if not len(letters):
+        return left.sparkSession.createDataFrame([], schema)
+    c = ciphers()
+    text = F.concat(F.lit(" "), F.col("token"), F.lit(" "))
+    pairs = left.select("source", "n", text.alias("t")).select("source", "n", "t", F.explode(F.sequence(F.lit(1), F.length("t") - 1)).alias("i"))
+    pairs = pairs.select("source", F.substring("t", F.col("i"), F.lit(1)).alias("a"), F.substring("t", F.col("i") + 1, F.lit(1)).alias("b"), "n").filter(F.concat("a", "b").rlike(r"[^\x00-\x7F]"))
+
+    def learn(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        a, b = (np.array([ord(x) for x in rows[k].to_pylist()], np.int64) for k in ("a", "b"))
+        n = rows["n"].to_numpy().astype(float)
+        strange = logs[letter_classes("".join(map(chr, a))), letter_classes("".join(map(chr, b)))] < ODD
+        often: dict[int, float] = {}
+        for x, y, m, odd in zip(a.tolist(), b.tolist(), n.tolist(), strange.tolist()):
+            for z in (x, y):
+                if odd and z > 127:
+                    often[z] = often.get(z, 0) + m
+        chars = np.array(sorted(z for z, m in often.items() if m >= least), np.int64)
+        if not len(chars):
+            return pa.table({"source": pa.array([], pa.string()), "char": pa.array([], pa.string()), "letter": pa.array([], pa.string())})
+        prior = np.log(np.tile(alone[letters] / alone[letters].sum(), (len(chars), 1)) + 1e-4)
+        number = {int(x): i for i, x in enumerate(letters)}
+        for i, z in enumerate(chars.tolist()):
+            for k in np.unique(c.classes[:, z] if z < 0x10000 else np.zeros(0, int)).tolist():
+                if k in number:
+                    prior[i, number[k]] += 1.0
+        best, p = learned_table(chars, a, b, n, logs, letters, prior)
+        sure = [(chr(z), chr(letters[k])) for z, k, q in zip(chars.tolist(), best, p) if q > 0.9 and letters[k] != letter_classes(chr(z))[0]]
+        return pa.table({"source": pa.array([key[0].as_py()] * len(sure), pa.string()), "char": pa.array([x for x, _ in sure], pa.string()), "letter": pa.array([y.upper() if x.isupper() else y for x, y in sure], pa.string())})
+
+    return pairs.groupBy("source", "a", "b").agg(F.sum("n").alias("n")).groupBy("source").applyInArrow(learn, schema)
 
 
 def source_posteriors(scored: DataFrame, sizes: DataFrame, prior: float = 1e-3, strength: float = 200.0, rounds: int = 3) -> DataFrame:
@@ -275,10 +368,12 @@ def source_posteriors(scored: DataFrame, sizes: DataFrame, prior: float = 1e-3,
     return current
 
 
-def garbled_texts(df: DataFrame, id_col: str, text_col: str, source_col: str, rounds: int = 2, restore: bool = True, least: float = 0.5, max_broadcast: int = 1_000_000) -> DataFrame:
+def garbled_texts(df: DataFrame, id_col: str, text_col: str, source_col: str, rounds: int = 2, restore: bool = True, least: float = 0.5, least_odd: int = 8, max_broadcast: int = 1_000_000) -> DataFrame:
     """(item_id, ciphers, p_garbled, restored, complete) for every text whose probability of being garbled exceeds `least`.
 
-    ciphers: names of the likely ciphers, the likeliest first. restored: the text with these undone, null where nothing could be; complete: whether
+    ciphers: names of the likely ciphers, the likeliest first, and FREE where the source's own table applies; that is learned for characters that stand
+    `least_odd` times in rare bigrams of a source, and a text with two words that it turns into known ones is a
+    case. restored: the text with these undone, null where nothing could be; complete: whether
     no character remains lost. A text with control characters from U+0080 to U+009F (but U+0085) or the replacement character U+FFFD is always a case, though what
     the latter replaced can't be regained. Null, empty
     and plain ASCII texts are never a case. Spellings of a source that differ in case, outer blanks or `_` for `-` are one, a null source is one of
@@ -286,15 +381,28 @@ def garbled_texts(df: DataFrame, id_col: str, text_col: str, source_col: str, ro
     and restored is null. Other columns are ignored.
     """
     spark = df.sparkSession
-    source = F.coalesce(F.regexp_replace(F.lower(F.trim(F.col(source_col))), "_", "-"), F.lit(""))
-    given = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), source.alias("source")).filter(F.col("text").rlike(r"[^\x00-\x7F]"))
+    source = F.coalesce(source_key(F.col(source_col)), F.lit(""))
+    every = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), source.alias("source")).filter("text <> ''")
     # a text is told by id and hash, so an id with several texts does no harm
-    given = given.select(F.struct(F.col("id"), F.xxhash64("text").alias("h")).alias("item_id"), "text", "source")
+    given = every.filter(F.col("text").rlike(r"[^\x00-\x7F]")).select(F.struct(F.col("id"), F.xxhash64("text").alias("h")).alias("item_id"), "text", "source")
     kind = given.schema["item_id"].dataType.simpleString()
     sizes = saved(given.groupBy("source").agg(F.count("*").alias("n")), "sizes")
-    clean = given
+    tokens = saved(given.select(F.explode(odd_tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n")), "tokens")
+    held = given.select("item_id", "source", F.explode(F.array_distinct(odd_tokens(F.col("text")))).alias("token"))
+
+    def few(rows: DataFrame) -> DataFrame:
+        return F.broadcast(rows) if rows.count() <= max_broadcast else rows
+
+    pairs, words = letter_counts(every)
     for k in range(rounds):
-        language = spark.sparkContext.broadcast(learned_language(clean))
+        language = spark.sparkContext.broadcast(language_of(pairs, words))
+
+        def improve(batches: Iterator[pa.RecordBatch], language=language) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            lang = Language(*language.value)
+            for batch in batches:
+                best = [float(lang.gains(w).max()) for w in batch.column("token").to_pylist()]
+                strange = [lang.oddest(w) for w in batch.column("token").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("token"), batch.column("n"), pa.array(best, pa.float64()), pa.array(strange, pa.float64())], ["token", "n", "best", "oddest"])
 
         def score(batches: Iterator[pa.RecordBatch], language=language) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             lang = Language(*language.value)
@@ -303,34 +411,64 @@ def garbled_texts(df: DataFrame, id_col: str, text_col: str, source_col: str, ro
                 for i, text in enumerate(batch.column("text").to_pylist()):
                     s = lang.text_scores(text)
                     top = np.flatnonzero(s > 1)
-                    if len(top) > 12:
-                        top = top[np.argsort(-s[top], kind="stable")[:12]]  # the others are e^-score times less likely than these
                     row += [i] * len(top)
                     cipher += top.tolist()
                     value += s[top].tolist()
                 at = pa.array(row, pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column("item_id").take(at), batch.column("source").take(at), pa.array(cipher, pa.int32()), pa.array(value, pa.float64())], ["item_id", "source", "cipher", "score"])
 
-        scored = saved(given.mapInArrow(score, f"item_id {kind}, source string, cipher int, score double").distinct(), "scored")
+        judged = saved(tokens.mapInArrow(improve, "token string, n bigint, best double, oddest double"), "judged")
+        may = few(saved(held.join(few(judged.filter("best > 0").select("token")), "token", "left_semi").select("item_id").distinct(), "candidates"))
+        candidates = given.join(may, "item_id", "left_semi")
+        scored = saved(candidates.mapInArrow(score, f"item_id {kind}, source string, cipher int, score double").distinct(), "scored")
         likely = source_posteriors(scored, sizes).filter("p > 0.01").groupBy("item_id").agg(F.sum("p").alias("p_garbled"), F.sort_array(F.collect_list(F.struct((-F.col("p")).alias("q"), "cipher"))).alias("of"))
         likely = saved(likely.filter(F.col("p_garbled") > least), "likely")
         if k < rounds - 1:
-            clean = given.join(F.broadcast(likely) if likely.count() <= max_broadcast else likely, "item_id", "left_anti")
+            wrong = letter_counts(given.join(few(likely.select("item_id")), "item_id", "left_semi"))
+            pairs, words = pairs - wrong[0], words - wrong[1]
+
+    # what is left: tokens with rare bigrams in the texts that no known cipher explains
+    odd = few(judged.filter(F.col("oddest") < ODD).select("token"))
+    rest = given.join(few(likely.select("item_id")), "item_id", "left_anti")
+    left = saved(rest.select("source", F.explode(odd_tokens(F.col("text"))).alias("token")).join(odd, "token", "left_semi").groupBy("source", "token").agg(F.count("*").alias("n")), "left")
+    logs, counts = language_of(pairs, words)
+    alone = np.maximum(pairs, 0).reshape(CLASSES, CLASSES).sum(axis=0)
+    tables = free_tables(left, logs, alone / max(alone.sum(), 1), least_odd)
+    table = saved(tables.groupBy("source").agg(F.concat_ws("", F.collect_list("char")).alias("chars"), F.concat_ws("", F.collect_list("letter")).alias("letters")), "tables")
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row = [i for i, (w, x) in enumerate(zip(batch.column("token").to_pylist(), batch.column("written").to_pylist())) if w != x and counts[word_key(x)] > max(1.0, 2 * counts[word_key(w)])]
+            yield batch.take(pa.array(row, pa.int64()))
+
+    # two different words that turn into words known from elsewhere make a case
+    every_token = rest.join(few(table), "source").select("source", "chars", "letters", F.explode(F.array_distinct(odd_tokens(F.col("text")))).alias("token")).distinct()
+    written = every_token.select("source", "token", F.expr("translate(token, chars, letters)").alias("written")).mapInArrow(known, "source string, token string, written string")
+    written = saved(written, "written")
+    by_table = rest.select("item_id", "source", F.explode(F.array_distinct(odd_tokens(F.col("text")))).alias("token")).join(few(written), ["source", "token"]).groupBy("item_id").agg(F.count("*").alias("n"), F.map_from_entries(F.collect_set(F.struct("token", "written"))).alias("words")).filter("n >= 2").select("item_id", "words")
     # control characters beyond ASCII (but for the line break U+0085) are never written; U+FFFD stands for what no page could read
     lost = given.filter(F.col("text").rlike("[\\x80-\\x84\\x86-\\x9F\\uFFFD]")).select("item_id").distinct()
-    found = likely.join(lost.withColumn("lost", F.lit(True)), "item_id", "full_outer")
+    found = likely.join(lost.withColumn("lost", F.lit(True)), "item_id", "full_outer").join(by_table, "item_id", "full_outer")
     names = F.array(*[F.lit(n) for n in ciphers().names])
-    found = found.select("item_id", F.round(F.coalesce(F.when(F.col("lost"), 1.0), "p_garbled"), 6).alias("p_garbled"), F.coalesce(F.transform("of", lambda x: x["cipher"]), F.array().cast("array<int>")).alias("numbers"))
-    named = F.transform("numbers", lambda k: F.get(names, k)).alias("ciphers")
+    numbers = F.coalesce(F.transform("of", lambda x: x["cipher"]), F.array().cast("array<int>"))
+    sure = F.when(F.col("lost") | F.col("words").isNotNull(), 1.0)
+    found = found.select("item_id", F.round(F.coalesce(sure, "p_garbled"), 6).alias("p_garbled"), numbers.alias("numbers"), "words")
+    own = F.when(F.col("words").isNotNull(), F.array(F.lit(FREE))).otherwise(F.array().cast("array<string>"))
+    found = saved(found.withColumn("ciphers", F.concat(F.transform("numbers", lambda k: F.get(names, k)), own)), "found")
     if not restore:
-        return found.select(F.col("item_id.id").alias("item_id"), named, "p_garbled", F.lit(None).cast("string").alias("restored"), F.lit(None).cast("boolean").alias("complete"))
-    few = F.broadcast(found) if found.count() <= max_broadcast else found
-    affected = given.join(few, "item_id").select("item_id", "text", "numbers", "p_garbled").dropDuplicates(["item_id"])
+        return found.select(F.col("item_id.id").alias("item_id"), "ciphers", "p_garbled", F.lit(None).cast("string").alias("restored"), F.lit(None).cast("boolean").alias("complete"))
+    affected = given.join(few(found), "item_id").select("item_id", "text", "numbers", "words", "ciphers", "p_garbled").dropDuplicates(["item_id"])
 
-    def undo(batches: Iterator[pd.DataFrame], language=language) -> Iterator[pd.DataFrame]:  # noqa: ANN001
+    def undo(batches: Iterator[pa.RecordBatch], language=language) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
         lang = Language(*language.value)
-        for b in batches:
-            yield b.drop(columns="text").assign(restored=[lang.restore(lang.restore(t, list(n)), list(n)) if len(n) else None for t, n in zip(b["text"], b["numbers"])])  # some went wrong twice
-
-    done = affected.mapInPandas(undo, f"item_id {kind}, numbers array<int>, p_garbled double, restored string")
-    return done.select(F.col("item_id.id").alias("item_id"), named, "p_garbled", "restored", F.coalesce(~F.col("restored").contains(LOST), F.lit(False)).alias("complete"))
+        for batch in batches:
+            done = []
+            for text, numbers, own in zip(*(batch.column(c).to_pylist() for c in ("text", "numbers", "words"))):
+                new = lang.restore(lang.restore(text, numbers), numbers) if numbers else text  # some went wrong twice
+                for token, word in own or []:
+                    new = re.sub(rf"(?<![^ \n]){re.escape(token)}(?![^ \n])", lambda _, word=word: word, new)
+                done.append(new if numbers or own else None)
+            yield pa.RecordBatch.from_arrays([batch.column("item_id"), batch.column("ciphers"), batch.column("p_garbled"), pa.array(done, pa.string())], ["item_id", "ciphers", "p_garbled", "restored"])
+
+    done = affected.mapInArrow(undo, f"item_id {kind}, ciphers array<string>, p_garbled double, restored string")
+    return done.select(F.col("item_id.id").alias("item_id"), "ciphers", "p_garbled", "restored", F.coalesce(~F.col("restored").contains(LOST), F.lit(False)).alias("complete"))

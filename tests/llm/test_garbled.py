@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 import pytest
 
-from foliant.llm.garbled import ciphers, garbled_texts
+from foliant.llm.garbled import CLASSES, FREE, ciphers, garbled_texts, learned_table, letter_classes
 
 WORDS = {
     "fr": "réunion congé dépôt coût élève prêt à vérifier théâtre intérêt déjà écarts relevés être façon où garçon".split(),
@@ -70,3 +71,39 @@ def test_every_cipher_is_undone():
                 continue
             if bad != part:
                 assert c.undo(k, bad) == part, (name, part)
+
+
+def test_page_that_no_pair_explains(spark):
+    """A source read with an invented page: its table is learned from bigrams alone."""
+    rng = random.Random(4)
+    words = "ąžuolas žąsis šuo šeši ėjimas gėlė ūkis žuvų miškų namų vaikų lašas šviesa žvaigždė mėlynė pelė rūta būtų kūrė sąjunga žąsų ačiū čia kačių ečia į įėjo įmonė ęsti tęsia gręžė mįslė".split()
+    page = dict(zip("ąčęėįšųūž", "¢£¥§©®±µ¶"))
+    rows, truth = [], {}
+    for i in range(700):
+        clean = " ".join(rng.choice(words) for _ in range(25))
+        bad = i % 14 == 0
+        rows.append((i, clean.translate(str.maketrans(page)) if bad else clean, "src-x" if bad or i % 3 == 0 else "src-y"))
+        if bad:
+            truth[i] = clean
+    got = {r.item_id: r for r in garbled_texts(spark.createDataFrame(rows, "doc int, text string, source string"), "doc", "text", "source").collect()}
+    assert set(got) == set(truth) and all(FREE in r.ciphers for r in got.values())
+    pairs = [(a, b) for i in truth for a, b in zip(got[i].restored.split(" "), truth[i].split(" "))]
+    assert sum(a == b for a, b in pairs) > 0.9 * len(pairs)
+
+
+def test_learned_table_of_a_text_with_no_known_letter():
+    """All letters are unknown, so each is learned from the others' expected ones."""
+    rng = np.random.default_rng(3)
+    sample = " ".join(rng.choice("встреча комната обсуждаем ответ готовит компания прислала настройка следующий шаг срок замена вечер хорошо завтра письмо работа".split(), 4000))
+    x = letter_classes(sample)
+    logs = np.log((np.bincount(x[:-1] * CLASSES + x[1:], minlength=CLASSES * CLASSES).reshape(CLASSES, CLASSES) + 0.01) / (np.bincount(x, minlength=CLASSES)[:, None] + 0.01 * CLASSES)).astype(np.float32)
+    letters = np.unique(x[x > 127])
+    symbols = 0x2200 + rng.permutation(len(letters))
+    text = np.array([ord(c) for c in sample[:20000]])
+    lower = np.searchsorted(letters, text)
+    text = np.where(text > 127, symbols[np.minimum(lower, len(letters) - 1)], text)
+    pairs, n = np.unique(np.stack([text[:-1], text[1:]], 1), axis=0, return_counts=True)
+    count = np.bincount(x, minlength=CLASSES)[letters] / (x > 127).sum()
+    best, p = learned_table(np.sort(symbols), pairs[:, 0], pairs[:, 1], n.astype(float), logs, letters, np.tile(np.log(count), (len(symbols), 1)))
+    right = letters[best] == letters[np.argsort(symbols)]
+    assert right.mean() > 0.7
