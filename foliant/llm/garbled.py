@@ -76,9 +76,9 @@ class Ciphers:
         self.classes = np.full((len(single), 0x10000), -1, np.int16)
         self.classes[:, :128] = letter_classes("".join(map(chr, range(128))))
         for k, table in enumerate(self._tables):
-            for char, letter in table.items():
-                if char < 0x10000:
-                    self.classes[k, char] = letter_classes(letter)[0]
+            at = np.array([char for char in table if char < 0x10000])
+            lower = [letter.lower()[:1] for char, letter in table.items() if char < 0x10000]
+            self.classes[k, at] = letter_classes("".join(lower))
 
     def _unread(self, text: str, page: str) -> str | None:
         try:
@@ -133,10 +133,13 @@ def segments(text: str) -> Iterator[list[str]]:
 class Language:
     """Scores of ciphers by letter bigrams and word counts."""
 
-    def __init__(self, bigrams: np.ndarray, words: np.ndarray):
-        self.logs, self.words, self.known = bigrams, words, {}
+    def __init__(self, bigrams: np.ndarray, words: np.ndarray, known: tuple[list[str], np.ndarray] | None = None):
+        """known: the gains of some words, so that they need not be found again."""
+        self.logs, self.words = bigrams, words
+        self.known: dict[str, np.ndarray] = dict(zip(*known)) if known else {}
         self.runs: dict[str, np.ndarray] = {}
-        self.better: set[str] = set()  # words that some cipher improves
+        # words that some cipher improves
+        self.better: set[str] = {w for w, gain in zip(known[0], known[1].max(axis=1, initial=0)) if gain > 0} if known else set()
 
     def gains(self, word: str) -> np.ndarray:
         """For each cipher, the gain in log-probability when the word is undone."""
@@ -242,8 +245,8 @@ def odd_tokens(text: Column) -> Column:
     return F.filter(F.split(text, "[ \n]"), lambda w: w.rlike(r"[^\x00-\x7F]"))
 
 
-def letter_counts(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of the bigrams of letter classes and of the words beyond ASCII (hashed), over the column `text`."""
+def letter_counts(texts: DataFrame, tokens: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the bigrams of letter classes, over the column `text`, and of the words beyond ASCII (hashed), of tokens (token, n)."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(CLASSES * CLASSES, np.int64)
@@ -259,7 +262,6 @@ def letter_counts(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([word_key(w) for w in batch.column("token").to_pylist()], pa.int64()), batch.column("n")], ["k", "n"])
 
-    tokens = texts.select(F.explode(odd_tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     out = []
     for df, size in ((texts.select("text").mapInArrow(pairs, "k bigint, n bigint"), CLASSES * CLASSES), (tokens.mapInArrow(words, "k bigint, n bigint"), SKETCH)):
         found, count = df.groupBy("k").agg(F.sum("n").alias("n")).toArrow(), np.zeros(size)  # CLASSES^2 and SKETCH rows at most
@@ -368,12 +370,12 @@ def source_posteriors(scored: DataFrame, sizes: DataFrame, prior: float = 1e-3,
     return current
 
 
-def garbled_texts(df: DataFrame, id_col: str, text_col: str, source_col: str, rounds: int = 2, restore: bool = True, least: float = 0.5, least_odd: int = 8, max_broadcast: int = 1_000_000) -> DataFrame:
+def garbled_texts(df: DataFrame, id_col: str, text_col: str, source_col: str, rounds: int = 2, restore: bool = True, least: float = 0.5, least_odd: int = 8, max_known: int = 20_000, max_broadcast: int = 1_000_000) -> DataFrame:
     """(item_id, ciphers, p_garbled, restored, complete) for every text whose probability of being garbled exceeds `least`.
 
     ciphers: names of the likely ciphers, the likeliest first, and FREE where the source's own table applies; that is learned for characters that stand
     `least_odd` times in rare bigrams of a source, and a text with two words that it turns into known ones is a
-    case. restored: the text with these undone, null where nothing could be; complete: whether
+    case. The gains of the max_known most frequent tokens are broadcast, as they would be found anew in every task. restored: the text with these undone, null where nothing could be; complete: whether
     no character remains lost. A text with control characters from U+0080 to U+009F (but U+0085) or the replacement character U+FFFD is always a case, though what
     the latter replaced can't be regained. Null, empty
     and plain ASCII texts are never a case. Spellings of a source that differ in case, outer blanks or `_` for `-` are one, a null source is one of
@@ -387,22 +389,36 @@ def garbled_texts(df: DataFrame, id_col: str, text_col: str, source_col: str, ro
     given = every.filter(F.col("text").rlike(r"[^\x00-\x7F]")).select(F.struct(F.col("id"), F.xxhash64("text").alias("h")).alias("item_id"), "text", "source")
     kind = given.schema["item_id"].dataType.simpleString()
     sizes = saved(given.groupBy("source").agg(F.count("*").alias("n")), "sizes")
-    tokens = saved(given.select(F.explode(odd_tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n")), "tokens")
-    held = given.select("item_id", "source", F.explode(F.array_distinct(odd_tokens(F.col("text")))).alias("token"))
+    held = saved(given.select("item_id", "source", odd_tokens(F.col("text")).alias("tokens")), "held")
+
+    def counted(rows: DataFrame, *by: str) -> DataFrame:
+        return rows.select(*by, F.explode("tokens").alias("token")).groupBy(*by, "token").agg(F.count("*").alias("n"))
+
+    tokens = saved(counted(held), "tokens")
 
     def few(rows: DataFrame) -> DataFrame:
         return F.broadcast(rows) if rows.count() <= max_broadcast else rows
 
-    pairs, words = letter_counts(every)
+    width = len(ciphers().names)
+    pairs, words = letter_counts(every, tokens)
     for k in range(rounds):
-        language = spark.sparkContext.broadcast(language_of(pairs, words))
+        learned = language_of(pairs, words)
+        language = spark.sparkContext.broadcast(learned)
 
         def improve(batches: Iterator[pa.RecordBatch], language=language) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             lang = Language(*language.value)
             for batch in batches:
-                best = [float(lang.gains(w).max()) for w in batch.column("token").to_pylist()]
-                strange = [lang.oddest(w) for w in batch.column("token").to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column("token"), batch.column("n"), pa.array(best, pa.float64()), pa.array(strange, pa.float64())], ["token", "n", "best", "oddest"])
+                names = batch.column("token").to_pylist()
+                gains = np.array([lang.gains(w) for w in names], np.float32).reshape(-1, width)
+                lists = pa.ListArray.from_arrays(np.arange(0, width * (len(names) + 1), width, dtype=np.int32), pa.array(gains.ravel()))
+                yield pa.RecordBatch.from_arrays([*batch.select(["token", "n"]).columns, pa.array(gains.max(axis=1, initial=BAD).astype(float)), pa.array([lang.oddest(w) for w in names], pa.float64()), lists], ["token", "n", "best", "oddest", "gains"])
+
+        # few bytes but much work, so all tasks share it
+        shared = tokens.repartition(2 * spark.sparkContext.defaultParallelism, "token")
+        judged = saved(shared.mapInArrow(improve, "token string, n bigint, best double, oddest double, gains array<float>"), "judged")
+        # the most frequent tokens need not be judged again in every task
+        frequent = judged.orderBy(F.desc("n"), "token").limit(max_known).select("token", "gains").toArrow()
+        language = spark.sparkContext.broadcast((*learned, (frequent["token"].to_pylist(), frequent["gains"].combine_chunks().flatten().to_numpy().reshape(-1, width))))
 
         def score(batches: Iterator[pa.RecordBatch], language=language) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             lang = Language(*language.value)
@@ -417,21 +433,22 @@ def garbled_texts(df: DataFrame, id_col: str, text_col: str, source_col: str, ro
                 at = pa.array(row, pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column("item_id").take(at), batch.column("source").take(at), pa.array(cipher, pa.int32()), pa.array(value, pa.float64())], ["item_id", "source", "cipher", "score"])
 
-        judged = saved(tokens.mapInArrow(improve, "token string, n bigint, best double, oddest double"), "judged")
-        may = few(saved(held.join(few(judged.filter("best > 0").select("token")), "token", "left_semi").select("item_id").distinct(), "candidates"))
+        distinct = held.select("item_id", F.explode(F.array_distinct("tokens")).alias("token"))
+        may = few(saved(distinct.join(few(judged.filter("best > 0").select("token")), "token", "left_semi").select("item_id").distinct(), "candidates"))
         candidates = given.join(may, "item_id", "left_semi")
         scored = saved(candidates.mapInArrow(score, f"item_id {kind}, source string, cipher int, score double").distinct(), "scored")
         likely = source_posteriors(scored, sizes).filter("p > 0.01").groupBy("item_id").agg(F.sum("p").alias("p_garbled"), F.sort_array(F.collect_list(F.struct((-F.col("p")).alias("q"), "cipher"))).alias("of"))
         likely = saved(likely.filter(F.col("p_garbled") > least), "likely")
         if k < rounds - 1:
-            wrong = letter_counts(given.join(few(likely.select("item_id")), "item_id", "left_semi"))
+            gone = few(likely.select("item_id"))
+            wrong = letter_counts(given.join(gone, "item_id", "left_semi"), counted(held.join(gone, "item_id", "left_semi")))
             pairs, words = pairs - wrong[0], words - wrong[1]
 
     # what is left: tokens with rare bigrams in the texts that no known cipher explains
     odd = few(judged.filter(F.col("oddest") < ODD).select("token"))
-    rest = given.join(few(likely.select("item_id")), "item_id", "left_anti")
-    left = saved(rest.select("source", F.explode(odd_tokens(F.col("text"))).alias("token")).join(odd, "token", "left_semi").groupBy("source", "token").agg(F.count("*").alias("n")), "left")
-    logs, counts = language_of(pairs, words)
+    rest = held.join(few(likely.select("item_id")), "item_id", "left_anti")
+    left = saved(counted(rest, "source").join(odd, "token", "left_semi"), "left")
+    logs, counts = learned
     alone = np.maximum(pairs, 0).reshape(CLASSES, CLASSES).sum(axis=0)
     tables = free_tables(left, logs, alone / max(alone.sum(), 1), least_odd)
     table = saved(tables.groupBy("source").agg(F.concat_ws("", F.collect_list("char")).alias("chars"), F.concat_ws("", F.collect_list("letter")).alias("letters")), "tables")
@@ -442,10 +459,10 @@ def garbled_texts(df: DataFrame, id_col: str, text_col: str, source_col: str, ro
             yield batch.take(pa.array(row, pa.int64()))
 
     # two different words that turn into words known from elsewhere make a case
-    every_token = rest.join(few(table), "source").select("source", "chars", "letters", F.explode(F.array_distinct(odd_tokens(F.col("text")))).alias("token")).distinct()
+    every_token = counted(rest.join(few(table), "source"), "source", "chars", "letters")
     written = every_token.select("source", "token", F.expr("translate(token, chars, letters)").alias("written")).mapInArrow(known, "source string, token string, written string")
     written = saved(written, "written")
-    by_table = rest.select("item_id", "source", F.explode(F.array_distinct(odd_tokens(F.col("text")))).alias("token")).join(few(written), ["source", "token"]).groupBy("item_id").agg(F.count("*").alias("n"), F.map_from_entries(F.collect_set(F.struct("token", "written"))).alias("words")).filter("n >= 2").select("item_id", "words")
+    by_table = rest.select("item_id", "source", F.explode(F.array_distinct("tokens")).alias("token")).join(few(written), ["source", "token"]).groupBy("item_id").agg(F.count("*").alias("n"), F.map_from_entries(F.collect_set(F.struct("token", "written"))).alias("words")).filter("n >= 2").select("item_id", "words")
     # control characters beyond ASCII (but for the line break U+0085) are never written; U+FFFD stands for what no page could read
     lost = given.filter(F.col("text").rlike("[\\x80-\\x84\\x86-\\x9F\\uFFFD]")).select("item_id").distinct()
     found = likely.join(lost.withColumn("lost", F.lit(True)), "item_id", "full_outer").join(by_table, "item_id", "full_outer")
