@@ -6,12 +6,13 @@
 2. MinHash banding finds candidate pairs of sets, exact Jaccard similarity verifies them.
 3. Connected components of the verified links form groups. A component whose highest-degree set is linked to less than half of its weight is
    loose; there every set joins the linked set of highest degree, step by step up to a medoid that no neighbour exceeds.
-4. The middles of the groups that hold `min_share` of all rows (so at most 1/min_share of them) are compared on the driver; those closer than
-   `merge` are one group, as denser knots inside a group would otherwise be groups of their own.
+4. The middles of the groups, the heaviest `max_groups` first, are compared on the driver; those closer than `merge` are one group, as denser knots
+   inside a group would otherwise be groups of their own.
 5. Every row gets the group whose middle its vector is most similar to, or none below `stray`; the middles are set anew from all their rows,
-   a few times.
-6. The rows left as strays are grouped again, whatever their share of all rows, and groups of at least `min_rows` whose rows have a mean similarity
-   of `coherent` to their middle are added, until there is none: strays near each other by chance stay just above `stray`.
+   a few times. A group is one that has `min_rows` rows with a mean similarity to each other of `coherent`, which rows near each other by chance don't
+   have. No share of all rows is asked for.
+6. The rows left as strays go through all steps again, and the groups found among them are added, until there is none: so groups beyond the first
+   `max_groups` have their turn.
 """
 
 from __future__ import annotations
@@ -24,26 +25,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliant.llm.hnsw import matrix, usable_vectors
+from foliant.llm.hnsw import matrix, usable_vectors, vector_sample
 from foliant.operators.components import connected_components
 from foliant.session import saved
 
 
+def real_groups(weights: np.ndarray, alike: np.ndarray, min_rows: int, coherent: float) -> np.ndarray:
+    """Which groups have min_rows rows and, of two different ones, a mean similarity of `coherent`; alike is the mean similarity to the middle, of which a
+    row's own share is taken off."""
+    return (weights >= min_rows) & (weights * alike**2 - 1 >= coherent * (weights - 1))
+
+
 def merge_middles(middles: np.ndarray, weights: np.ndarray, merge: float) -> np.ndarray:
     """Middles of length 1, the heaviest first, after joining the two most similar ones until none are more similar than `merge`."""
     total, w = middles * weights[:, None], weights.astype(float)
-    while len(total) > 1:
-        unit = total / np.linalg.norm(total, axis=1, keepdims=True)
-        s = unit @ unit.T
-        np.fill_diagonal(s, -2)
+    unit = total / np.linalg.norm(total, axis=1, keepdims=True)
+    s = unit @ unit.T
+    np.fill_diagonal(s, -2)
+    there = np.ones(len(w), bool)
+    while there.sum() > 1:
         i, j = np.unravel_index(np.argmax(s), s.shape)
         if s[i, j] < merge:
             break
         total[i] += total[j]
         w[i] += w[j]
-        total, w = np.delete(total, j, 0), np.delete(w, j)
-    order = np.argsort(-w, kind="stable")
-    return (total / np.linalg.norm(total, axis=1, keepdims=True))[order].astype(np.float32)
+        there[j] = False
+        unit[i] = total[i] / np.linalg.norm(total[i])
+        s[i] = s[:, i] = np.where(there, unit @ unit[i], -2)
+        s[i, i] = -2
+        s[j] = s[:, j] = -2
+    order = np.flatnonzero(there)[np.argsort(-w[there], kind="stable")]
+    return unit[order].astype(np.float32)
 
 
 def spread_points(x: np.ndarray, k: int, rounds: int = 4, seed: int = 7) -> np.ndarray:
@@ -114,12 +126,9 @@ def set_groups(sets: DataFrame, anchors: int, threshold: float, bands: int = 16,
     return up.select("sid", F.col("to").alias("medoid"))
 
 
-def first_middles(units: DataFrame, n: int, least: float, most: int | None, dim: int, anchors: int, near: int, threshold: float, merge: float, stray: float, sample_rows: int) -> np.ndarray:
-    """Middles of the medoid groups of n rows that weigh `least`, of the `most` heaviest if given, merged."""
-    sample = matrix(units.sample(min(1.0, 1.2 * sample_rows / n), seed=7).select("unit").limit(2 * sample_rows).toArrow()["unit"], dim)
-    if not len(sample):
-        sample = matrix(units.select("unit").limit(sample_rows).toArrow()["unit"], dim)
-    points = spread_points(sample, anchors)
+def medoid_groups(units: DataFrame, n: int, dim: int, anchors: int, near: int, threshold: float, stray: float, sample_rows: int) -> tuple[np.ndarray, DataFrame]:
+    """The anchors, and (medoid, anchor, w): the weight of every anchor in each medoid group of n rows."""
+    points = spread_points(vector_sample(units, n, sample_rows, dim), anchors)
     width = min(near, len(points))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,20 +148,23 @@ def first_middles(units: DataFrame, n: int, least: float, most: int | None, dim:
     groups = set_groups(sets, len(points), threshold)
     shares = sets.join(groups, "sid").select("medoid", (F.col("w") / F.size("f")).alias("w"), F.explode("f").alias("anchor"))
     total = shares.groupBy("medoid", "anchor").agg(F.sum("w").alias("w"))
-    all_of = W.partitionBy("medoid")
-    heavy = total.withColumn("all", F.sum("w").over(all_of)).filter(F.col("all") >= least)
-    if most:
-        top = heavy.select("medoid", "all").distinct().orderBy(F.desc("all"), "medoid").limit(most)
-        heavy = heavy.join(F.broadcast(top.select("medoid")), "medoid", "left_semi")
-    heavy = heavy.select("medoid", "anchor", "w").toPandas()
+    return points, saved(total, "medoid-groups")
+
+
+def group_middles(points: np.ndarray, total: DataFrame, least: float, skip: int, most: int, merge: float) -> tuple[np.ndarray, int]:
+    """Merged middles of the medoid groups that weigh `least`: `most` of them after the `skip` heaviest; and how many these are before merging."""
+    dim = points.shape[1]
+    top = total.groupBy("medoid").agg(F.sum("w").alias("all")).filter(F.col("all") >= least)
+    top = top.orderBy(F.desc("all"), "medoid").offset(skip).limit(most).select("medoid")
+    heavy = total.join(F.broadcast(top), "medoid", "left_semi").toPandas()  # `most` groups of at most as many rows as there are anchors
     middles = np.zeros((0, dim))
     weights = []
     for _, g in heavy.groupby("medoid", sort=True):
         middles = np.vstack([middles, (points[g["anchor"]] * g["w"].to_numpy()[:, None]).sum(axis=0)])
         weights.append(g["w"].sum())
     if not len(middles):
-        return middles
-    return merge_middles(middles / np.linalg.norm(middles, axis=1, keepdims=True), np.array(weights), merge)
+        return middles, 0
+    return merge_middles(middles / np.linalg.norm(middles, axis=1, keepdims=True), np.array(weights), merge), len(middles)
 
 
 def moved_middles(units: DataFrame, middles: np.ndarray, dim: int, stray: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -180,14 +192,16 @@ def moved_middles(units: DataFrame, middles: np.ndarray, dim: int, stray: float)
 
 
 def direction_groups(
-    df: DataFrame, id_col: str, vector_col: str, dim: int = 64, anchors: int = 256, near: int = 4, threshold: float = 0.5, min_share: float = 0.002,
-    merge: float = 0.6, stray: float = 0.4, rounds: int = 3, sample_rows: int = 20_000, min_rows: int = 8, coherent: float = 0.55,
+    df: DataFrame, id_col: str, vector_col: str, dim: int = 64, anchors: int = 256, near: int = 4, threshold: float = 0.5, max_groups: int = 1024,
+    merge: float = 0.6, stray: float = 0.4, rounds: int = 3, sample_rows: int = 20_000, min_rows: int = 24, coherent: float = 0.3,
 ) -> DataFrame:
     """(item_id, group_no, similarity): the broad group of every usable vector, null for a stray one, and the similarity to the group's middle.
 
-    Usable is a vector of `dim` finite numbers, not all zero, with an id; repeated rows of an item come out once. Groups are numbered from 0, the
-    largest first. An empty table gives no rows. Other columns are ignored. Anchors are fitted on about `sample_rows` vectors, all else covers
-    all rows.
+    Usable is a vector of `dim` finite numbers, not all zero, with an id; repeated rows of an item come out once. A group has `min_rows` rows, whatever
+    their share, so fewer usable rows than that are strays. Groups are numbered from 0, the
+    largest first. An empty table gives no rows.
+    Other columns are ignored. Anchors are fitted on about `sample_rows` vectors, all else covers all rows. `max_groups` bounds what a pass has on the
+    driver, not the groups that are found.
     """
     spark = df.sparkSession
     units = saved(usable_vectors(df, id_col, vector_col, dim), "units")
@@ -195,13 +209,23 @@ def direction_groups(
     n = units.count()
     if not n:
         return spark.createDataFrame([], f"item_id {kind}, group_no int, similarity double")
-    fit = {"dim": dim, "anchors": anchors, "near": near, "threshold": threshold, "merge": merge, "stray": stray, "sample_rows": sample_rows}
-    middles = first_middles(units, n, max(1.0, min_share * n), None, **fit)  # 1/min_share middles at most
-    rest, left = units, n
-    while True:
-        for _ in range(rounds if len(middles) else 0):
-            moved, weights, _ = moved_middles(units, middles, dim, stray)
-            middles = merge_middles(moved, weights, merge)
+    middles, sizes, rest, left = np.zeros((0, dim), np.float32), np.zeros(0), units, n
+    while left >= min_rows:
+        points, total = medoid_groups(rest, left, dim, anchors, near, threshold, stray, sample_rows)
+        skip, count, real = 0, max_groups, np.zeros(0, bool)
+        while count == max_groups and not real.any():  # where none of the heaviest is a group, the next ones are looked at
+            more, count = group_middles(points, total, min_rows, skip, max_groups, merge)
+            skip += count
+            for k in range(rounds if len(more) else 0):
+                more, weights, alike = moved_middles(rest, more, dim, stray)
+                real = real_groups(weights, alike, min_rows, coherent)
+                if k < rounds - 1:
+                    more = merge_middles(more[real], weights[real], merge) if real.any() else more[:0]
+                if not len(more):
+                    break
+        if not real.any():
+            break
+        middles, sizes = np.vstack([middles, more[real]]), np.concatenate([sizes, weights[real]])
 
         def strays(batches: Iterator[pa.RecordBatch], middles: np.ndarray = middles) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -209,21 +233,11 @@ def direction_groups(
                     s = matrix(batch.column("unit"), dim) @ middles.T
                     yield batch.filter(pa.array(s.max(axis=1, initial=-2) < stray))
 
-        # a group too small for its share of all rows is among the strays: look there until no group is found
         rest = saved(rest.mapInArrow(strays, rest.schema), "strays")
         before, left = left, rest.count()
-        if left < min_rows or (left == before and len(middles)):
-            break
-        more = first_middles(rest, left, min_rows, max(1, int(1 / min_share)), **fit)
-        for _ in range(rounds if len(more) else 0):
-            more, weights, alike = moved_middles(rest, more, dim, stray)
-            if not len(more):
-                break
-        real = (weights >= min_rows) & (alike >= coherent) if len(more) else np.zeros(0, bool)
-        if not real.any():
+        if left == before:
             break
-        more = merge_middles(more[real], weights[real], merge)
-        middles = np.vstack([middles, more]) if len(middles) else more
+    middles = middles[np.argsort(-sizes, kind="stable")]
     if not len(middles):
         return units.select("item_id", F.lit(None).cast("int").alias("group_no"), F.lit(None).cast("double").alias("similarity")).distinct()
 
