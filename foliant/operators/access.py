@@ -10,11 +10,11 @@ from foliant.operators.graph import reachable
 EVERYONE = "everyone"
 
 
-def effective_principals(members: DataFrame, inherits: DataFrame, max_depth: int = 20) -> DataFrame:
+def effective_principals(members: DataFrame, inherits: DataFrame) -> DataFrame:
     """(user, principal): everything a user counts as: itself, its roles (members: user, role) and the roles these inherit (inherits: role, parent), and
-    everyone. Inheritance in a circle does no harm; chains longer than max_depth are not followed."""
+    everyone. Inheritance in a circle does no harm, and chains are followed to their end."""
     roles = members.select(F.col("role").alias("seed")).filter("seed is not null").distinct()
-    closure = reachable(inherits.select(F.col("role").alias("src"), F.col("parent").alias("dst")).filter("src is not null and dst is not null"), roles, max_depth)
+    closure = reachable(inherits.select(F.col("role").alias("src"), F.col("parent").alias("dst")).filter("src is not null and dst is not null"), roles, None)
     inherited = members.join(closure, members["role"] == closure["seed"]).select("user", F.col("node").alias("principal"))
     users = members.select("user").filter("user is not null").distinct()
     own = users.select("user", F.explode(F.array(F.col("user"), F.lit(EVERYONE))).alias("principal"))
@@ -30,3 +30,15 @@ def readable(documents: DataFrame, entries: DataFrame, principals: DataFrame, op
         free = documents.select("doc").join(entries.select("doc"), "doc", "left_anti")
         granted = granted.union(free.select("doc", F.lit(EVERYONE)))
     return owned.union(granted.distinct().join(principals, "principal").select("user", "doc")).distinct()
+
+
+def readable_counts(documents: DataFrame, entries: DataFrame, principals: DataFrame) -> DataFrame:
+    """(user, n_documents): how many documents readable() gives each user, without pairing users with what everyone may read: those documents are counted
+    once, and a user's other ones that are not among them are added."""
+    public = entries.filter(F.col("principal") == EVERYONE).select("doc").distinct().join(documents.select("doc"), "doc", "left_semi")
+    owned = documents.filter("owner is not null").select(F.col("owner").alias("user"), "doc")
+    own = entries.filter(F.col("principal") != EVERYONE).select("doc", "principal").distinct().join(principals, "principal").select("user", "doc")
+    users = principals.select("user").distinct()
+    extra = owned.join(users, "user", "left_semi").union(own).distinct().join(public, "doc", "left_anti").groupBy("user").agg(F.count("*").alias("n"))
+    all_ = public.agg(F.count("*").alias("n_public"))
+    return users.join(extra, "user", "left").crossJoin(F.broadcast(all_)).select("user", (F.coalesce("n", F.lit(0)) + F.col("n_public")).alias("n_documents")).filter("n_documents > 0")  # a single row

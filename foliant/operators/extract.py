@@ -56,7 +56,7 @@ def together(spans: DataFrame, first: str, second: str, within: int = 200, base:
     b = spans.filter(F.col("kind") == second).select("doc", F.col("mention").alias("b"), F.col("start").alias("sb"), F.col("stop").alias("eb"), F.explode(F.sequence(F.floor(F.col("start") / within) - 2, F.floor(F.col("start") / within) + 2)).alias("block"))
     gap = F.greatest(F.lit(0), F.col("sb") - F.col("ea"), F.col("sa") - F.col("eb"))
     near = a.join(b, ["doc", "block"]).withColumn("gap", gap).filter(F.col("gap") <= within)
-    return near.groupBy("a", "b").agg(F.countDistinct("doc").alias("n_docs"), F.count("*").alias("n_pairs"), F.round(F.avg(base * (1 - 0.3 * F.col("gap") / within)), 6).alias("confidence"))
+    return near.groupBy("a", "b").agg(F.countDistinct("doc").alias("n_docs"), F.count("*").alias("n_pairs"), F.round(F.sum((base * (1 - 0.3 * F.col("gap") / within)).cast("decimal(18,9)")).cast("double") / F.count("*"), 6).alias("confidence"))
 
 
 def chunks(docs: DataFrame, id_col: str, text_col: str, size: int = 512, overlap: int = 64) -> DataFrame:

@@ -9,17 +9,22 @@ from foliant.operators.components import connected_components
 from foliant.session import saved
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int = 2) -> DataFrame:
+def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int | None = 2) -> DataFrame:
     """(seed, node, depth): every node within max_depth edges of a seed (one column `seed`), with the least depth; the seed itself has depth 0.
 
-    One join a level: only nodes that were new in the level before are extended, and what is already reached is taken out.
+    One join a level: only nodes that were new in the level before are extended, and what is already reached is taken out. Without a max_depth the
+    walk ends with the first level that reaches nothing new.
     """
     out = edges.select("src", "dst").distinct()
     reached = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth")).distinct()
     front = reached
-    for d in range(1, max_depth + 1):
+    d = 0
+    while max_depth is None or d < max_depth:
+        d += 1
         step = front.join(out, front["node"] == out["src"]).select("seed", F.col("dst").alias("node")).distinct()
         front = saved(step.join(reached, ["seed", "node"], "left_anti").withColumn("depth", F.lit(d)), "front")
+        if max_depth is None and front.isEmpty():
+            break
         reached = reached.unionByName(front)
     return reached
 
@@ -38,19 +43,18 @@ def simple_paths(edges: DataFrame, seeds: DataFrame, max_depth: int = 3, weight:
     return found
 
 
-def in_cycles(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def in_cycles(edges: DataFrame) -> DataFrame:
     """(src, dst): the edges left when nodes without an incoming or without an outgoing edge are removed again and again: those on cycles, or on ways
     between them. Empty if and only if the graph has no cycle (self-loops count as cycles)."""
     left = saved(edges.select("src", "dst").distinct(), "cycles")
     n = left.count()
-    for _ in range(max_rounds):
+    while True:
         less = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
         left = saved(less.select("src", "dst"), "cycles")
         m = left.count()
         if m == n:
             return left
         n = m
-    raise RuntimeError(f"still shrinking after {max_rounds} rounds")
 
 
 def degrees(edges: DataFrame) -> DataFrame:

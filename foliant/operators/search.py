@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliant.functions.text import tokens
+from foliant.session import saved
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -25,7 +27,7 @@ def bm25(index: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b:
     Only postings of terms that are asked for take part: the queries' terms select them by a semi-join before anything is weighted. Equal scores
     are ordered by doc.
     """
-    lengths = index.select("doc", "dl").distinct().agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
+    lengths = index.agg(F.sum(F.col("tf") / F.col("dl")).alias("n"), F.sum("tf").alias("terms")).select(F.round("n").alias("n_docs"), (F.col("terms") / F.round("n")).alias("avg_dl"))
     asked = queries.distinct()
     hit = index.join(asked.select("term").distinct(), "term", "left_semi")
     df = hit.groupBy("term").agg(F.count("*").alias("df"))
@@ -45,14 +47,18 @@ def best(scored: DataFrame, group: str, score: Column, tie: str, k: int) -> Data
 def vector_topk(items: DataFrame, id_col: str, vector_col: str, queries: DataFrame, k: int = 10, metric: str = "cosine", max_queries: int = 100_000, block: int = 2048) -> DataFrame:
     """(query_id, item_id, score, place): exact nearest vectors of a stated set of queries (query_id, vector).
 
-    The queries are broadcast, at most max_queries of them, and every partition of the items is multiplied with them in blocks and keeps its own k
-    best, so that k rows a query and partition are exchanged. metric: cosine, or l2 with the score 1 / (1 + squared distance). An item is not its
+    The queries are broadcast, max_queries at a time, and every partition of the items is multiplied with them in blocks and keeps its own k best, so
+    that k rows a query and partition are exchanged; more queries than that are divided by a hash into as many passes as they need. metric: cosine, or l2 with the score 1 / (1 + squared distance). An item is not its
     own neighbour; rows whose vector is null, of another length than the first query's, not finite or (cosine) zero are left out.
     """
     spark = items.sparkSession
-    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).filter("vector is not null").limit(max_queries + 1).toArrow()
-    if asked.num_rows > max_queries:
-        raise ValueError(f"more than {max_queries} queries")
+    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).filter("vector is not null")
+    count = asked.count()
+    if count > max_queries:
+        asked, parts = saved(asked, "queries"), -(-2 * count // max_queries)
+        passes = [asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i) for i in range(parts)]
+        return reduce(DataFrame.unionByName, [vector_topk(items, id_col, vector_col, p, k, metric, max(max_queries, count), block) for p in passes])
+    asked = asked.toArrow()
     given = items.select(F.col(id_col).alias("item_id"), F.col(vector_col).cast("array<double>").alias("v"))
     kind, qkind = given.schema["item_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
     schema = f"query_id {qkind}, item_id {kind}, score double"

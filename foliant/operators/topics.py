@@ -61,3 +61,13 @@ def quality(points: DataFrame, label: str, id_col: str, vector: str, dim: int) -
     ratio = a.join(z, F.col("i") != F.col("j")).groupBy("i").agg(F.max((F.col("si") + F.col("sj")) / distance(F.col("ci"), F.col("cj"))).alias("worst"))
     ch = (F.col("b") / (F.col("n_clusters") - 1)) / (F.col("w") / (F.col("n") - F.col("n_clusters")))
     return sums.crossJoin(F.broadcast(ratio.agg(F.avg("worst").alias("davies_bouldin")))).select("n", "n_clusters", ch.alias("calinski_harabasz"), "davies_bouldin")
+
+
+def silhouettes(points: DataFrame, own: DataFrame, label: str, id_col: str, vector: str, dim: int) -> DataFrame:
+    """(label, n, silhouette): the mean of (b - a) / max(a, b) with a a point's distance to its own centroid (own: id, label, distance) and b that to the
+    nearest other one. Every point meets every centroid, whose number must be small against that of the points; they are one row, joined as an array."""
+    all_ = centroids(points, label, vector, dim).agg(F.collect_list(F.struct(F.col(label).alias("l"), F.col("centroid").alias("c"))).alias("centroids"))
+    good = points.filter(F.size(vector) == dim).select(F.col(id_col).alias("id"), F.col(label).alias("own_label"), F.col(vector).alias("v"))
+    other = good.crossJoin(F.broadcast(all_)).select("id", F.array_min(F.transform(F.filter("centroids", lambda c: c["l"] != F.col("own_label")), lambda c: distance(F.col("v"), c["c"]))).alias("b"))  # a single row
+    both = own.join(other, "id").withColumn("s", (F.col("b") - F.col("distance")) / F.greatest("b", "distance"))
+    return both.groupBy(label).agg(F.count("*").alias("n"), F.round(F.avg("s"), 4).alias("silhouette"))

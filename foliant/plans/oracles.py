@@ -68,11 +68,11 @@ ORACLES: dict[str, str] = {
         with t as (select doc_id doc, {_tokens("text")} t from documents), l as (select doc, len(t) dl, t from t where len(t) > 0),
         p as (select doc, dl, unnest(t) term from l), tf as (select doc, dl, term, count(*) tf from p group by all),
         df as (select term, count(*) df from tf group by term), c as (select count(*) n, avg(dl) a from l),
-        q as (select distinct query_id, term from (select doc_id query_id, unnest({_tokens(HEADING)}) term from documents where doc_id % 100 = 0)),
+        q as (select distinct query_id, term from (select doc_id query_id, unnest(case when len({_tokens(HEADING)}) > 0 then {_tokens(HEADING)} else {_tokens("text")} end) term from documents where doc_id % 100 = 0)),
         s as (select query_id, doc, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 6) score from q join tf using (term) join df using (term), c group by all)
         select * from (select query_id, doc, score, row_number() over (partition by query_id order by score desc, doc) place from s) where place <= 10""",
     "vector_search_cosine": f"""
-        with u as (select chunk_id, document_id, any_value(vector)::double[] v from vectors where ({FAULT}) is null group by all),
+        with u as (select chunk_id, document_id, min(vector)::double[] v from vectors where ({FAULT}) is null group by all),
         s as (select q.chunk_id query_id, u.chunk_id item_id, round(list_cosine_similarity(q.v, u.v), 6) score from u q join u on q.document_id % 100 = 0 and q.chunk_id <> u.chunk_id)
         select * from (select *, row_number() over (partition by query_id order by score desc, item_id) place from s) where place <= 10""",
     "vector_search_l2": """
@@ -113,11 +113,6 @@ ORACLES: dict[str, str] = {
         t as (select query_id, unnest({_tokens("snippet", 3)}) term from h), c as (select query_id, term, count(*) tf from t group by all having count(*) > 1),
         s as (select *, round(tf / max(tf) over (partition by query_id), 6) score from c)
         select * from (select *, row_number() over (partition by query_id order by score desc, term) place from s) where place <= 3""",
-    "name_typos": f"""
-        with k as (select distinct term from (select unnest({_tokens("name")}) term from entities where entity_type = 'person') where regexp_full_match(term, '[a-z]{{3,}}')),
-        n as (select unnest([commitment_by, commitment_to, follow_up_with]) s from detected_actions),
-        t as (select distinct term from (select unnest({_tokens("s")}) term from n) where regexp_full_match(term, '[a-z]{{3,}}'))
-        select k.term, t.term near, levenshtein(k.term, t.term)::int edits from k, t where levenshtein(k.term, t.term) = 1""",
     "filtered_documents": f"""
         select doc_id, {_source("source")} source, {LANG} lang, modified_at from documents
         where {_source("source")} in ('src-pension', 'src-cargo') and mime_type = 'text/markdown' and {LANG} in ('en', 'de') and modified_at between '2024-03-01' and '2025-03-01'""",
@@ -162,17 +157,17 @@ ORACLES: dict[str, str] = {
         where chunk_id not in (select chunk_id from vectors)""",
     "orphaned_hits": "select query_id, count(*) n_hits, count(distinct document_id) n_documents from (select distinct * from vector_results) where chunk_id not in (select chunk_id from vectors) group by 1",
     "text_drift": f"""
-        with n as (select chunk_id, any_value(text) now from vectors group by 1), t as (select distinct query_id, chunk_id, text from vector_results),
+        with n as (select chunk_id, min(text) now from vectors group by 1), t as (select distinct query_id, chunk_id, text from vector_results),
         b as (select query_id, chunk_id, text = now same, list_distinct({_tokens("text")}) a, list_distinct({_tokens("now")}) b from t join n using (chunk_id)), s as (select *, len(list_intersect(a, b)) n from b)
         select query_id, chunk_id, same, (len(a) - n)::int removed, (len(b) - n)::int added, round(n / greatest(len(a) + len(b) - n, 1), 6) similarity from s""",
     "mention_counts": "with m as (" + " union all ".join(f"select doc_id, '{k}' kind, unnest(regexp_extract_all(text, '{p}')) mention from documents" for k, p in _MENTIONS.items()) + ") select kind, mention, count(*) n, count(distinct doc_id) n_docs from m group by all",
-    "entity_statistics": "select entity_type, count(*) n, round(avg(confidence), 6) confidence, count(*) filter (len(aliases) > 0) n_with_alias, max(updated_at) last_update from entities group by 1",
-    "latest_actions": f"with {_PROMISES} select action_type, date_trunc('month', detected_at)::timestamp as month, count(*) n, count(distinct document_id) n_documents, round(avg(confidence), 6) confidence from acts group by 1, 2",
+    "entity_statistics": "select entity_type, count(*) n, round(sum(confidence::decimal(18,6))::double / count(confidence), 6) confidence, count(*) filter (len(aliases) > 0) n_with_alias, max(updated_at) last_update from entities group by 1",
+    "latest_actions": f"with {_PROMISES} select action_type, date_trunc('month', detected_at)::timestamp as month, count(*) n, count(distinct document_id) n_documents, round(sum(confidence::decimal(18,6))::double / count(confidence), 6) confidence from acts group by 1, 2",
     "promise_degrees": f"with {_PROMISES}, e as (select distinct src, dst from edges), x as (select src node, 1 o, 0 i from e union all select dst, 0, 1 from e) select node, sum(o)::bigint n_out, sum(i)::bigint n_in from x group by 1",
     "promise_reach": f"""with recursive {_PROMISES}, e as (select distinct src, dst from edges),
         walk as (select distinct src seed, src node, 0 depth from e union select seed, dst, depth + 1 from walk join e on node = src where depth < 3) select seed, node, min(depth) depth from walk group by all""",
     "promise_paths": f"""with recursive {_PROMISES}, e as (select src, dst, max(confidence) w from edges group by all),
-        walk as (select distinct src seed, src node, [src] path, 0 depth, 0.0::double logs from e where src % 100 = 0
+        walk as (select distinct src seed, src node, [src] path, 0 depth, 0.0::double logs from e
             union all select seed, dst, list_append(path, dst), depth + 1, logs + ln(w) from walk join e on node = src where depth < 3 and not list_contains(path, dst))
         select seed, array_to_string(path, '>') path, depth, round(exp(logs / depth), 6) strength from walk where depth > 0""",
     "promise_cycles": f"""with recursive {_PROMISES}, e as (select distinct src, dst from edges), walk as (select src a, dst b from e union select a, dst from walk join e on b = src),

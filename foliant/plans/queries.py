@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions.text import heading, lang_key, snippet, source_key, tokens
@@ -54,7 +54,7 @@ def bm25_snippets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _usable(vectors: DataFrame) -> DataFrame:
-    return vectors.filter(fault(F.col("vector"), DIM).isNull()).select("chunk_id", "document_id", "vector").dropDuplicates(["chunk_id"])
+    return vectors.filter(fault(F.col("vector"), DIM).isNull()).groupBy("chunk_id").agg(F.min(F.struct("document_id", "vector")).alias("x")).select("chunk_id", "x.document_id", "x.vector")
 
 
 @query
@@ -108,7 +108,9 @@ def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
     """The flagship: both arms fused, the ten best documents of every query with their source and heading."""
     fused = search.rrf(_arms(spark, folder), "query_id", "document_id")
     top = search.min_max(search.best(fused, "query_id", F.round("score", 8), "document_id", 10), "query_id")
-    documents = table(spark, folder, "documents").select(F.col("doc_id").alias("document_id"), source_key(F.col("source")).alias("source"), heading(F.col("text")).alias("heading"))
+    # the texts of the hits alone are looked at
+    hit = table(spark, folder, "documents").withColumnRenamed("doc_id", "document_id").join(top.select("document_id").distinct(), "document_id", "left_semi")
+    documents = hit.select("document_id", source_key(F.col("source")).alias("source"), heading(F.col("text")).alias("heading"))
     return top.join(documents, "document_id").select("query_id", "place", "document_id", "score", F.round("normalized", 4).alias("normalized"), "n_arms", "source", "heading")
 
 
@@ -204,7 +206,7 @@ def jsonl_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     d = table(spark, folder, "documents").select("doc_id", "lang", "source", "n_chars", "text", "modified_at")
     path = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}"
     files.export_jsonl(d, path)
-    back = files.import_jsonl(spark, path, d.schema.simpleString()[len("struct<") : -1].replace(":", " "))
+    back = files.sound_lines(files.import_jsonl(spark, path, d.schema.simpleString()[len("struct<") : -1].replace(":", " ")))
     return back.select("doc_id", "lang", "source", "n_chars", F.sha2(F.col("text").cast("binary"), 256).alias("hash"), "modified_at")
 
 
@@ -222,8 +224,7 @@ def readable_documents(spark: SparkSession, folder: str) -> DataFrame:
     inherits = members.select("role", F.substring("role", 1, 8).alias("parent")).distinct()
     watched = d.join(table(spark, folder, "sources").filter("watching").select("source_id"), "source_id", "left_semi").select("doc", F.lit(access.EVERYONE).alias("principal"))
     shared = d.filter("mime_type = 'text/markdown' and owner is not null").select("doc", team.alias("principal"))
-    may = access.readable(d, watched.union(shared), access.effective_principals(members, inherits))
-    return may.groupBy("user").agg(F.count("*").alias("n_documents"))
+    return access.readable_counts(d, watched.union(shared), access.effective_principals(members, inherits))
 
 
 # -- duplicates ------------------------------------------------------------------------------------------------------------------------------
@@ -286,7 +287,7 @@ def orphaned_hits(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def text_drift(spark: SparkSession, folder: str) -> DataFrame:
     """How far the text of a hit has moved from what its piece says now."""
-    now = table(spark, folder, "vectors").select("chunk_id", F.col("text").alias("now")).dropDuplicates(["chunk_id"])
+    now = table(spark, folder, "vectors").groupBy("chunk_id").agg(F.min("text").alias("now"))
     then = table(spark, folder, "vector_results").select("query_id", "chunk_id", "text").distinct()
     a, b = F.array_distinct(tokens(F.col("text"))), F.array_distinct(tokens(F.col("now")))
     both = then.join(now, "chunk_id").select("query_id", "chunk_id", (F.col("text") == F.col("now")).alias("same"), a.alias("a"), b.alias("b"))
@@ -325,6 +326,11 @@ def promises(spark: SparkSession, folder: str) -> DataFrame:
     return a.join(by, "by").join(to, "to").filter("src <> dst").select("src", "dst", "document_id", F.coalesce("confidence", F.lit(0.5)).alias("confidence"))
 
 
+def _mean(name: str) -> Column:
+    """Mean of six digits, of numbers taken to six digits: summed as decimals, so that the order of rows doesn't show."""
+    return F.round(F.sum(F.col(name).cast("decimal(18,6)")).cast("double") / F.count(name), 6)
+
+
 def _seeds(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("seed")).distinct()
 
@@ -332,12 +338,12 @@ def _seeds(edges: DataFrame) -> DataFrame:
 @query
 def entity_statistics(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "entities")
-    return e.groupBy("entity_type").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("confidence"), F.count_if(F.size("aliases") > 0).alias("n_with_alias"), F.max("updated_at").alias("last_update"))
+    return e.groupBy("entity_type").agg(F.count("*").alias("n"), _mean("confidence").alias("confidence"), F.count_if(F.size("aliases") > 0).alias("n_with_alias"), F.max("updated_at").alias("last_update"))
 
 
 @query
 def latest_actions(spark: SparkSession, folder: str) -> DataFrame:
-    return _actions(spark, folder).groupBy("action_type", F.date_trunc("month", "detected_at").alias("month")).agg(F.count("*").alias("n"), F.countDistinct("document_id").alias("n_documents"), F.round(F.avg("confidence"), 6).alias("confidence"))
+    return _actions(spark, folder).groupBy("action_type", F.date_trunc("month", "detected_at").alias("month")).agg(F.count("*").alias("n"), F.countDistinct("document_id").alias("n_documents"), _mean("confidence").alias("confidence"))
 
 
 @query

@@ -43,5 +43,15 @@ def export_jsonl(df: DataFrame, path: str, compression: str = "gzip") -> None:
 
 
 def import_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Read JSON lines with a given schema; lines that are not JSON are dropped."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").options(**_TIMES).json(path)
+    """Read JSON lines with a given schema. A line that is not JSON, or doesn't fit the schema, is kept as `corrupt_line`, null for all others; see
+    sound_lines() and rejected_lines()."""
+    return spark.read.schema(f"{schema}, corrupt_line string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "corrupt_line").options(**_TIMES).json(path)
+
+
+def sound_lines(lines: DataFrame) -> DataFrame:
+    return lines.filter("corrupt_line is null").drop("corrupt_line")
+
+
+def rejected_lines(lines: DataFrame) -> DataFrame:
+    """(corrupt_line): what import_jsonl could not read."""
+    return lines.filter("corrupt_line is not null").select("corrupt_line")

@@ -42,8 +42,9 @@ def test_vector_topk_leaves_out_unusable(spark):
     got = rows(search.vector_topk(items, "id", "v", asked, k=2), "query_id", "item_id", "place")
     assert got == [(1, 2, 1), (1, 7, 2)]
     assert search.vector_topk(items, "id", "v", asked.filter("false")).count() == 0
-    with pytest.raises(ValueError):
-        search.vector_topk(items, "id", "v", asked, max_queries=1).count()
+    every = items.select(F.col("id").alias("query_id"), F.col("v").alias("vector")).filter("id in (1, 2, 7)")
+    want = rows(search.vector_topk(items, "id", "v", every, k=2), "query_id", "item_id", "place")
+    assert len(want) == 6 and rows(search.vector_topk(items, "id", "v", every, k=2, max_queries=1), "query_id", "item_id", "place") == want
 
 
 def test_edit_neighbours_against_brute_force(spark):
@@ -246,12 +247,41 @@ def test_access(spark):
     inherits = spark.createDataFrame([("editor", "viewer"), ("viewer", "guest"), ("guest", "viewer"), (None, "x")], "role string, parent string")
     who = access.effective_principals(members, inherits)
     assert [p for u, p in rows(who) if u == "ann"] == ["ann", "editor", "everyone", "guest", "viewer"] and [p for u, p in rows(who) if u == "cy"] == ["cy", "everyone"]
+    chain = spark.createDataFrame([(f"r{i}", f"r{i + 1}") for i in range(25)], "role string, parent string")
+    assert len(rows(access.effective_principals(spark.createDataFrame([("dee", "r0")], "user string, role string"), chain))) == 28
     docs = spark.createDataFrame([(1, "cy"), (2, None), (3, "ann")], "doc int, owner string")
     entries = spark.createDataFrame([(1, "editor"), (1, "editor"), (3, "guest")], "doc int, principal string")
     assert rows(access.readable(docs, entries, who)) == [("ann", 1), ("ann", 3), ("bob", 3), ("cy", 1)]
     assert ("bob", 2) in rows(access.readable(docs, entries, who, open_by_default=True))
 
 
+def test_readable_counts(spark):
+    members = spark.createDataFrame([("ann", "r"), ("bob", "q")], "user string, role string")
+    who = access.effective_principals(members, spark.createDataFrame([], "role string, parent string"))
+    docs = spark.createDataFrame([(i, "ann" if i % 3 == 0 else None) for i in range(12)], "doc int, owner string")
+    entries = spark.createDataFrame([(i, access.EVERYONE) for i in range(0, 12, 2)] + [(1, "q"), (2, "q"), (99, access.EVERYONE)], "doc int, principal string")
+    want = access.readable(docs, entries.filter("doc < 99"), who).groupBy("user").count()
+    assert rows(access.readable_counts(docs, entries, who)) == rows(want)
+
+
+def test_malformed_lines_are_returned(spark, tmp_path):
+    (tmp_path / "x.json").write_text('{"a": 1}\nnot json\n{"a": 2}\n')
+    lines = files.import_jsonl(spark, str(tmp_path / "x.json"), "a int").cache()
+    assert rows(files.sound_lines(lines)) == [(1,), (2,)] and rows(files.rejected_lines(lines)) == [("not json",)]
+
+
+def test_saved_tables_are_removed(spark):
+    import os
+
+    from foliant.session import _written, remove_saved, saved
+
+    df = saved(spark.range(3), "some")
+    path = _written[-1][1].removeprefix("file://")
+    assert df.count() == 3 and os.path.exists(path)
+    remove_saved()
+    assert not os.path.exists(path) and not _written
+
+
 def test_rerank(spark):
     hits = spark.createDataFrame([(1, 1, 1.0, 0.0), (1, 2, 0.5, 1.0), (1, 3, 0.9, None)], "query_id int, item_id int, score double, s double")
     assert [r.item_id for r in search.reranked(hits, F.col("s"), k=2).orderBy("place").collect()] == [2, 1]
