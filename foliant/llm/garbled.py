@@ -418,10 +418,10 @@ def garbled_texts(df: DataFrame, id_col: str, text_col: str, source_col: str, ro
         judged = saved(shared.mapInArrow(improve, "token string, n bigint, best double, oddest double, gains array<float>"), "judged")
         # the most frequent tokens need not be judged again in every task
         frequent = judged.orderBy(F.desc("n"), "token").limit(max_known).select("token", "gains").toArrow()
-        language = spark.sparkContext.broadcast((*learned, (frequent["token"].to_pylist(), frequent["gains"].combine_chunks().flatten().to_numpy().reshape(-1, width))))
+        cache = spark.sparkContext.broadcast((frequent["token"].to_pylist(), frequent["gains"].combine_chunks().flatten().to_numpy().reshape(-1, width)))
 
-        def score(batches: Iterator[pa.RecordBatch], language=language) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            lang = Language(*language.value)
+        def score(batches: Iterator[pa.RecordBatch], language=language, cache=cache) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            lang = Language(*language.value, cache.value)
             for batch in batches:
                 row, cipher, value = [], [], []
                 for i, text in enumerate(batch.column("text").to_pylist()):
@@ -443,6 +443,9 @@ def garbled_texts(df: DataFrame, id_col: str, text_col: str, source_col: str, ro
             gone = few(likely.select("item_id"))
             wrong = letter_counts(given.join(gone, "item_id", "left_semi"), counted(held.join(gone, "item_id", "left_semi")))
             pairs, words = pairs - wrong[0], words - wrong[1]
+            # all that was made with them is saved
+            language.destroy()
+            cache.destroy()
 
     # what is left: tokens with rare bigrams in the texts that no known cipher explains
     odd = few(judged.filter(F.col("oddest") < ODD).select("token"))
@@ -476,8 +479,8 @@ def garbled_texts(df: DataFrame, id_col: str, text_col: str, source_col: str, ro
         return found.select(F.col("item_id.id").alias("item_id"), "ciphers", "p_garbled", F.lit(None).cast("string").alias("restored"), F.lit(None).cast("boolean").alias("complete"))
     affected = given.join(few(found), "item_id").select("item_id", "text", "numbers", "words", "ciphers", "p_garbled").dropDuplicates(["item_id"])
 
-    def undo(batches: Iterator[pa.RecordBatch], language=language) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-        lang = Language(*language.value)
+    def undo(batches: Iterator[pa.RecordBatch], language=language, cache=cache) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+        lang = Language(*language.value, cache.value)
         for batch in batches:
             done = []
             for text, numbers, own in zip(*(batch.column(c).to_pylist() for c in ("text", "numbers", "words"))):
