@@ -249,7 +249,7 @@ def permitted_hits(spark: SparkSession, folder: str) -> DataFrame:
     return search.best(hits.join(may, "document_id", "left_semi"), "query_id", F.round("score", 6), "document_id", 10).select("query_id", "document_id", "score", "place")
 
 
-@query(f"""with {sql._CENTROID}, s as (select q.vec_id, c.label cluster, round(list_cosine_similarity(q.embedding::double[], c.c), 5) similarity from (select * from embeddings where vec_id % 100 = 0) q, cent c)
+@query(f"""with {sql._CENTROID}, s as (select q.vec_id, c.label cluster, round(round(list_cosine_similarity(q.embedding::double[], c.c), 6), 5) similarity from (select * from embeddings where vec_id % 100 = 0) q, cent c)
     select * from (select *, row_number() over (partition by vec_id order by similarity desc, cluster) place from s) where place <= 3""")
 def nearest_clusters(spark: SparkSession, folder: str) -> DataFrame:
     """The three clusters whose centroids are most similar to each stated query."""
