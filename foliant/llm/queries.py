@@ -129,8 +129,28 @@ def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p5_found": p5_found, "p5_groups": p5_groups, "p6_containers": p6_containers, "p7_mix": p7_mix, "p7_copies": p7_copies, "p7_shares": p7_shares, "p8_found": p8_found, "p8_restored": p8_restored}
 
+def _runs_of_three(name: str, key: str, text: str) -> str:
+    """SQL (three steps of a with clause) of the pairs of records whose distinct runs of three words are half the same."""
+    words = rf"list_filter(regexp_split_to_array(lower({text}), '[^\p{{L}}\p{{N}}]+'), lambda t: length(t) > 0)"
+    return f"""
+        {name}_words as (select distinct {key} k, {words} w from {name} where {key} is not null and {text} is not null),
+        {name}_sets as (select k, row_number() over () no, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) r from {name}_words where len(w) > 2),
+        {name}_runs as (select k, no, len(r) n, unnest(r) x from {name}_sets),
+        {name}_pairs as (select distinct '{name}' record_table, key_a, key_b from (select a.k key_a, b.k key_b, a.no, b.no, any_value(a.n) na, any_value(b.n) nb, count(*) n
+            from {name}_runs a join {name}_runs b on a.x = b.x and a.k < b.k group by a.k, b.k, a.no, b.no) where 2 * n >= na + nb - n)"""
+
+
+_FAULT = "vector is null or len(vector) <> 64 or len(list_filter(vector, lambda x: x is null or isnan(x) or isinf(x))) > 0 or len(list_filter(vector, lambda x: x <> 0)) = 0"
+
+
 ORACLES: dict[str, str] = {
     "p1_found": """
         select distinct chunk_id from (select chunk_id, text from vectors union all select chunk_id, text from vector_results)
         where strlen(text) > 1000 and chunk_id is not null""",
+    "p2_found": f"with {_runs_of_three('vectors', 'chunk_id', 'text')}, {_runs_of_three('fulltext_results', 'result_id', 'snippet')} select * from vectors_pairs union all select * from fulltext_results_pairs",
+    "p3_found": f"""
+        with u as (select distinct chunk_id, vector::double[] v from vectors where not ({_FAULT})),
+        s as (select q.chunk_id a, u.chunk_id b, list_cosine_similarity(q.v, u.v) c from u q join u on q.chunk_id <> u.chunk_id where q.chunk_id in (select chunk_id from knn_probes)),
+        r as (select a, b, row_number() over (partition by a order by c desc, b) place from s)
+        select distinct least(a, b) chunk_a, greatest(a, b) chunk_b from r where place <= 10""",
 }
