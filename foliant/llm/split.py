@@ -1,6 +1,6 @@
 """Splitting oversized texts at natural boundaries (problem 1).
 
-Every byte position of a text gets its farthest legal successor: the start of the piece that would follow a piece starting there, overlap
+Every boundary of a text gets its farthest legal successor: the start of the piece that would follow a piece starting there, overlap
 included. Squaring that successor table doubles, in each round, the number of cuts that are known, so the cuts of a text with m pieces are
 derived in log2(m) whole-array steps instead of m dependent ones.
 """
@@ -18,63 +18,74 @@ from pyspark.sql import functions as F
 PARAGRAPH, LINE, SENTENCE, WORD = 4, 3, 2, 1
 
 
-def boundary_levels(raw: np.ndarray) -> np.ndarray:
-    """For every position 0..n of the UTF-8 bytes: how strong a boundary lies there (0: none). A boundary is the start of what follows."""
+def boundary_levels(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the boundaries of UTF-8 bytes, ascending, with 0 and the end, and how strong each is. A boundary is the start of what follows."""
     n = len(raw)
-    level = np.zeros(n + 1, np.int8)
     space = (raw == 32) | ((raw >= 9) & (raw <= 13))
-    if n > 1:
-        start = np.flatnonzero(space[:-1] & ~space[1:]) + 1
-        # the white space before each start begins after the last byte that is none
-        last = np.maximum.accumulate(np.where(~space, np.arange(n), -1))
-        ink = last[start - 1]
-        lines = np.concatenate([[0], np.cumsum(raw == 10)])
-        breaks = lines[start] - lines[ink + 1]
-        mark = np.where(ink >= 0, raw[np.maximum(ink, 0)], 0)
-        ellipsis = (ink >= 2) & (mark == 0xA6) & (raw[np.maximum(ink - 1, 0)] == 0x80) & (raw[np.maximum(ink - 2, 0)] == 0xE2)
-        ended = np.isin(mark, np.frombuffer(b".!?", np.uint8)) | ellipsis
-        level[start] = np.where(breaks > 1, PARAGRAPH, np.where(breaks == 1, LINE, np.where(ended, SENTENCE, WORD)))
-    if n > 3:
-        a, b, c = raw[:-2], raw[1:-1], raw[2:]
-        # ideographic full stop, full-width exclamation and question mark need no space after them
-        full = ((a == 0xE3) & (b == 0x80) & (c == 0x82)) | ((a == 0xEF) & (b == 0xBC) & ((c == 0x81) | (c == 0x9F)))
-        at = np.flatnonzero(full) + 3
-        level[at] = np.maximum(level[at], SENTENCE)
-    level[0] = level[n] = PARAGRAPH
-    return level
+    start = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+    # the white space before each start begins after the last byte that is none
+    inked = np.concatenate([[-1], np.flatnonzero(~space[:-1] & space[1:])])
+    ink = inked[np.searchsorted(inked, start, "left") - 1]
+    line = np.flatnonzero(raw == 10)
+    breaks = np.searchsorted(line, start) - np.searchsorted(line, ink + 1)
+    mark = np.where(ink >= 0, raw[np.maximum(ink, 0)], 0) if n else ink
+    ellipsis = (ink >= 2) & (mark == 0xA6) & (raw[np.maximum(ink - 1, 0)] == 0x80) & (raw[np.maximum(ink - 2, 0)] == 0xE2) if n else ink > 0
+    ended = np.isin(mark, np.frombuffer(b".!?", np.uint8)) | ellipsis
+    level = np.where(breaks > 1, PARAGRAPH, np.where(breaks == 1, LINE, np.where(ended, SENTENCE, WORD)))
+    a, b, c = raw[:-2], raw[1:-1], raw[2:]
+    # ideographic full stop, full-width exclamation and question mark need no space after them
+    full = ((a == 0xE3) & (b == 0x80) & (c == 0x82)) | ((a == 0xEF) & (b == 0xBC) & ((c == 0x81) | (c == 0x9F)))
+    ideal = np.flatnonzero(full) + 3
+    at = np.concatenate([[0, n], start, ideal])
+    kind = np.concatenate([[PARAGRAPH, PARAGRAPH], level, np.full(len(ideal), SENTENCE)]).astype(np.int8)
+    order = np.lexsort((-kind, at))
+    at, kind = at[order], kind[order]
+    first = np.concatenate([[True], at[1:] != at[:-1]])
+    return at[first], kind[first]
 
 
 def cuts(raw: np.ndarray, limit: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends (bytes) of the pieces of one text."""
+    """Starts and ends (bytes) of the pieces of one text. The tables hold a row for each boundary, and for each character only where boundaries are so
+    far apart that a piece may have to begin between them."""
     n = len(raw)
     if n <= limit:
         return np.array([0]), np.array([n])
-    pos = np.arange(n + 1)
-    level = boundary_levels(raw)
-    whole = np.concatenate([(raw & 0xC0) != 0x80, [True]])  # not inside a character
-    before = [np.maximum.accumulate(np.where((level >= k) if k else whole, pos, -1)) for k in range(PARAGRAPH + 1)]
+    at, level = boundary_levels(raw)
+    strong = {k: at[level >= k] for k in range(WORD, PARAGRAPH + 1)}
+
+    def back(pos: np.ndarray) -> np.ndarray:
+        """The last position up to pos that is not inside a character."""
+        for _ in range(3):
+            pos = pos - ((pos < n) & ((raw[np.minimum(pos, n - 1)] & 0xC0) == 0x80))
+        return pos
+
+    gap = np.flatnonzero(np.diff(at) > (2 * overlap or limit // 2))
+    between = [np.flatnonzero((raw[a + 1 : b] & 0xC0) != 0x80) + a + 1 for a, b in zip(at[gap], at[gap + 1])]
+    pos = np.sort(np.concatenate([at, *between])) if between else at
+    last = lambda k, x: strong[k][np.searchsorted(strong[k], x, "right") - 1]
     # end of a piece that starts at pos: the farthest boundary of the strongest kind in the window's second half, else a word's, else a character's
     reach = np.minimum(pos + limit, n)
-    end = np.where(before[0][reach] > pos, before[0][reach], n)
+    end = back(reach)
+    end = np.where(end > pos, end, n)
     for k in range(WORD, PARAGRAPH + 1):
-        last = before[k][reach]
-        end = np.where(last > pos + (limit // 2 if k > WORD else 2 * overlap), last, end)
+        there = last(k, reach)
+        end = np.where(there > pos + (limit // 2 if k > WORD else 2 * overlap), there, end)
     end = np.where(pos + limit >= n, n, end)
     # start of the next piece: the boundary nearest to `overlap` bytes before that end
     want = np.maximum(end - overlap, 0)
-    low = before[WORD][want]
-    after = np.minimum.accumulate(np.where(level >= WORD, pos, n)[::-1])[::-1]
-    high = after[want]
+    low = last(WORD, want)
+    high = at[np.minimum(np.searchsorted(at, want), len(at) - 1)]
     near = np.where((high < end) & (high - want < want - low), high, low)
-    step = np.where((near > pos) & (near >= end - 2 * overlap) & (near < end), near, before[0][want])
+    step = np.where((near > pos) & (near >= end - 2 * overlap) & (near < end), near, back(want))
     step = np.where(step > pos, step, end)  # windows too small for the overlap still advance
-    jump = np.where(end >= n, n, step)
+    jump = np.searchsorted(pos, np.where(end >= n, n, step))
+    done = len(pos) - 1
     known = np.array([0])
-    while known[-1] != n:
+    while known[-1] != done:
         known = np.concatenate([known, jump[known]])
         jump = jump[jump]
-    known = np.unique(known[known < n])
-    return known, end[known]
+    known = np.unique(known[known < done])
+    return pos[known], end[known]
 
 
 def split_oversized(df: DataFrame, id_col: str, text_col: str, limit: int = 1000, overlap: int = 100, keep: Sequence[str] = ()) -> DataFrame:
@@ -123,7 +134,9 @@ def placed_pieces(pieces: DataFrame, placed: DataFrame, indexed: Column | None =
         .agg(F.max_by(F.struct("document_id", "position", "byte_offset"), F.struct("created_at", "version_id")).alias("at"))
     )
     # only oversized chunks bring extra pieces, so only they take part in the running sums
-    before = W.partitionBy("at.document_id").orderBy("at.position", "item_id").rowsBetween(W.unboundedPreceding, -1)
+    # chunks of no known document are moved by none, so each is a window of its own
+    alone = F.when(F.col("at.document_id").isNull(), F.col("item_id"))
+    before = W.partitionBy("at.document_id", alone).orderBy("at.position", "item_id").rowsBetween(W.unboundedPreceding, -1)
     extra = F.when(F.col("indexed").isNotNull(), F.sum("indexed").over(before)).otherwise(F.sum(F.coalesce("indexed", "most")).over(before))
     moved = F.when(F.col("at.document_id").isNotNull(), F.coalesce(extra, F.lit(0))).otherwise(0)
     base = n.join(newest, n["item_id"] == newest["chunk_id"], "left").select("item_id", "at", moved.alias("moved"))

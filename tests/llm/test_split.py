@@ -1,4 +1,5 @@
 import hashlib
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -11,7 +12,9 @@ from foliant.llm.split import PARAGRAPH, WORD, boundary_levels, cuts, placed_pie
 
 def one_by_one(raw, limit, overlap):
     """The same rules, a piece after the other."""
-    n, level = len(raw), boundary_levels(raw)
+    n, level = len(raw), np.zeros(len(raw) + 1, int)
+    at, kind = boundary_levels(raw)
+    level[at] = kind
     whole = [i for i in range(n + 1) if i == n or raw[i] & 0xC0 != 0x80]
     s, out = 0, []
     while True:
@@ -39,6 +42,9 @@ def one_by_one(raw, limit, overlap):
 @given(st.text(st.sampled_from("ab .\n。é😀!"), max_size=300))
 def test_cuts_equal_the_sequential_rules(text):
     raw = np.frombuffer(text.encode(), np.uint8)
+    for limit, overlap in ((8, 2), (8, 0), (13, 3), (30, 0)):
+        start, end = cuts(raw, limit, overlap)
+        assert list(zip(start.tolist(), end.tolist())) == one_by_one(raw, limit, overlap)
     start, end = cuts(raw, 40, 8)
     assert list(zip(start.tolist(), end.tolist())) == one_by_one(raw, 40, 8)
     assert start[0] == 0 and end[-1] == len(raw) and all(b >= a for a, b in zip(start[1:], start)) is (len(start) == 1) or (np.diff(start) > 0).all()
@@ -47,6 +53,18 @@ def test_cuts_equal_the_sequential_rules(text):
         raw[a:b].tobytes().decode("utf-8")
 
 
+def test_memory_goes_with_boundaries():
+    """Below 40 bytes for each byte of the text, whether it has words or not."""
+    for word in ("several words here ", "文字"):
+        raw = np.frombuffer((word * 200_000).encode(), np.uint8)
+        tracemalloc.start()
+        start, end = cuts(raw, 1000, 100)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert end[-1] == len(raw) and ((end - start) <= 1000).all()
+        assert peak < 40 * len(raw), peak / len(raw)
+
+
 def test_prefers_paragraphs_and_overlaps(spark):
     text = "\n\n".join("Sentence one here. Sentence two there." + " filler" * 40 for _ in range(12))
     df = spark.createDataFrame([("a", text, 1), ("b", "short", 1), ("c", None, 1), ("d", "", 1), (None, "é" * 900, 1), ("a", text, 1)], "id string, text string, piece_no int")
