@@ -68,3 +68,14 @@ def recurrences(rules: DataFrame, id_col: str, start: str, unit: str, every: str
     at = F.col(start) + F.when(F.col(unit) == "day", F.make_dt_interval(days=step)).when(F.col(unit) == "week", F.make_dt_interval(days=7 * step)).otherwise(F.make_dt_interval(days=zero))
     moved = F.when(F.col(unit) == "month", F.col(start) + F.make_ym_interval(months=step)).otherwise(at)
     return n.select(id_col, F.col("nth").cast("int").alias("nth"), moved.alias("at"))
+
+
+def occurrences(rules: DataFrame, id_col: str, start: str, unit: str, every: str, until: str, exceptions: str, first: str, last: str, most: int = 100) -> DataFrame:
+    """(id, nth, at): the occurrences of rules from time `first` to `last` (columns), none after `until` (null: no end) and none at a time in the
+    array `exceptions` (null: none). At most `most` are counted from the start, as recurrences() does."""
+    known = rules.withColumn("_most", F.lit(most))
+    all_ = recurrences(known, id_col, start, unit, every, "_most")
+    bounds = rules.select(F.col(id_col).alias("_id"), F.col(until).alias("_until"), F.col(exceptions).alias("_not"), F.col(first).alias("_a"), F.col(last).alias("_z"))
+    near = all_.join(bounds, F.col(id_col) == F.col("_id"))
+    kept = F.col("at").between(F.col("_a"), F.col("_z")) & (F.col("_until").isNull() | (F.col("at") <= F.col("_until"))) & ~F.coalesce(F.array_contains("_not", F.col("at")), F.lit(False))
+    return near.filter(kept).select(id_col, "nth", "at")

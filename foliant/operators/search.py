@@ -179,6 +179,21 @@ def edit_neighbours(terms: DataFrame, vocabulary: DataFrame, most: int = 2) -> D
     return met.withColumn("edits", F.levenshtein("term", "near")).filter(F.col("edits").between(1, most))
 
 
+def synonym_terms(terms: DataFrame, synonyms: DataFrame, most: int = 5) -> DataFrame:
+    """(query_id, term, score, place): up to `most` expansions of each query's terms (query_id, term) by a small table (head, synonym): 0.9 for the synonyms
+    of a term, 0.7 for those of a head within two edits of it. Terms that the query has already are none; of equal scores the least term comes first.
+
+    The table of synonyms is a dictionary, not data; its heads meet the distinct terms in edit_neighbours(), so a misspelt term costs one comparison."""
+    asked = terms.select("query_id", "term").distinct()
+    exact = asked.join(synonyms, F.col("term") == F.col("head")).select("query_id", F.col("synonym").alias("new"), F.lit(0.9).alias("score"))
+    heads = synonyms.select(F.col("head").alias("term")).distinct()
+    near = edit_neighbours(heads, asked.select("term").distinct(), 2).select(F.col("term").alias("head"), F.col("near").alias("term"))
+    spelt = asked.join(near, "term").join(synonyms, "head").select("query_id", F.col("synonym").alias("new"), F.lit(0.7).alias("score"))
+    fresh = exact.unionByName(spelt).groupBy("query_id", "new").agg(F.max("score").alias("score"))
+    fresh = fresh.join(asked.withColumnRenamed("term", "new"), ["query_id", "new"], "left_anti").withColumnRenamed("new", "term")
+    return best(fresh, "query_id", F.col("score"), "term", most)
+
+
 def reranked(hits: DataFrame, similarity: Column, score: str = "score", share: float = 0.4, k: int = 10, group: str = "query_id", tie: str = "item_id") -> DataFrame:
     """The k best hits of each group by share * score + (1 - share) * similarity; a null similarity counts as 0."""
     return best(hits.withColumn("score", share * F.col(score) + (1 - share) * F.coalesce(similarity, F.lit(0.0))), group, F.round("score", 6), tie, k)

@@ -17,9 +17,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(oracle: str):  # noqa: ANN201
+def query(oracle: str | None):  # noqa: ANN201
+    """Registers a query with its SQL, or without where SQL can't express it or is too slow on whole tables."""
+
     def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__], ORACLES[f.__name__] = f, oracle
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
         return f
 
     return register
