@@ -34,7 +34,8 @@ def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
         rows = table(spark, folder, name).filter(F.octet_length("text") > 1000).select(F.lit(name).alias("record_table"), "chunk_id", "text").distinct()
         long = rows if long is None else long.unionByName(rows)
     keep = ["record_table", "text_hash"]
-    pieces = split_oversized(long.withColumn("text_hash", F.md5(F.col("text").cast("binary"))), "chunk_id", "text", keep=keep)
+    # the places need the pieces twice more, so they are cut once and written
+    pieces = saved(split_oversized(long.withColumn("text_hash", F.md5(F.col("text").cast("binary"))), "chunk_id", "text", keep=keep), "pieces")
     return placed_pieces(pieces, table(spark, folder, "chunk_versions"), F.col("record_table") == "vectors", keep)
 
 
