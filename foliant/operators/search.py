@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,26 +17,131 @@ from foliant.session import saved
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, term, tf, dl): the inverted index, with each document's length in terms."""
-    terms = docs.select(F.col(id_col).alias("doc"), tokens(F.col(text_col)).alias("t")).filter(F.size("t") > 0)
-    return terms.select("doc", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("doc", "term", "dl").agg(F.count("*").alias("tf"))
+    """(doc, parts): each document's terms. Its rows are parts (dl, t): the length in terms and the terms. Rows of one length are one part, with the terms of all.
 
-
-def bm25(index: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, doc, score, place) of the k best documents for each query; queries (query_id, term), terms being OR-ed.
-
-    Only postings of terms that are asked for take part: the queries' terms select them by a semi-join before anything is weighted. Equal scores
-    are ordered by doc.
+    An id that stands once stays in its row, so only the ids are exchanged; rows of repeated ids are brought together.
+    """
+    rows = docs.select(F.col(id_col).alias("doc"), tokens(F.col(text_col)).alias("t")).filter(F.size("t") > 0).select("doc", F.size("t").alias("dl"), "t")
+    repeated = docs.groupBy(F.col(id_col).alias("again")).count().filter("count > 1").select("again")
+    single = F.array(F.struct("dl", "t")).alias("parts")
+    if repeated.isEmpty():
+        return rows.select("doc", single)
+    is_again = F.col("doc").eqNullSafe(F.col("again"))
+    whole = rows.join(repeated, is_again, "left_semi").groupBy("doc", "dl").agg(F.flatten(F.collect_list("t")).alias("t"))
+    return rows.join(repeated, is_again, "left_anti").select("doc", single).unionByName(whole.groupBy("doc").agg(F.collect_list(F.struct("dl", "t")).alias("parts")))
+
+
+def _coded(batch: pa.RecordBatch, vocabulary: pa.Array) -> pa.RecordBatch:
+    """A batch of postings() with numbers: of each document the lengths of its parts, how many rows each part is made of and how many terms of the vocabulary it
+    has (dl, copies, n), and the numbers and frequencies of these (code, tf), part by part."""
+    parts = batch.column("parts")
+    flat = parts.flatten()
+    dl, t = flat.field("dl"), flat.field("t")
+    code = pc.index_in(t.flatten(), value_set=vocabulary)
+    key = pc.list_parent_indices(t).filter(code.is_valid()).to_numpy().astype(np.int64) * len(vocabulary) + code.drop_null().to_numpy()
+    key, tf = np.unique(key, return_counts=True)
+    n = np.bincount(key // len(vocabulary), minlength=len(flat))
+    start = np.append(0, np.cumsum(pc.list_value_length(parts).to_numpy()))  # parts before each document
+    of_part = lambda x: pa.ListArray.from_arrays(pa.array(start, pa.int32()), pa.array(x, pa.int32()))
+    of_term = lambda x: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n))[start], pa.int32()), pa.array(x, pa.int32()))
+    copies = pc.list_value_length(t).to_numpy() // dl.to_numpy()
+    return pa.RecordBatch.from_arrays([batch.column("doc"), of_part(dl), of_part(copies), of_part(n), of_term(key % len(vocabulary)), of_term(tf)], ["doc", "dl", "copies", "n", "code", "tf"])
+
+
+def bm25(index: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, max_terms: int = 1_000_000, block: int = 64) -> DataFrame:
+    """(query_id, doc, score, place) of the k best documents of postings() for each query; queries (query_id, term), terms being OR-ed. Equal scores are
+    ordered by doc.
+
+    The queries are broadcast, max_terms rows at a time, divided by a hash into as many passes as they need. The numbers and frequencies of the terms that
+    they ask for are written once; nothing else of the documents is. Then every partition scores its documents against all queries and keeps its own
+    k best of each. Terms that many queries share with many documents are summed by a matrix product, the others from their postings.
     """
-    lengths = index.agg(F.sum(F.col("tf") / F.col("dl")).alias("n"), F.sum("tf").alias("terms")).select(F.round("n").alias("n_docs"), (F.col("terms") / F.round("n")).alias("avg_dl"))
-    asked = queries.distinct()
-    hit = index.join(asked.select("term").distinct(), "term", "left_semi")
-    df = hit.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = hit.join(df, "term").crossJoin(F.broadcast(lengths))  # a single row
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
-    scored = weighted.select("term", "doc", part.alias("part")).join(asked, "term").groupBy("query_id", "doc").agg(F.sum("part").alias("score"))
-    return best(scored, "query_id", F.round("score", 6), "doc", k)
+    spark = index.sparkSession
+    asked = queries.filter("term is not null").distinct()
+    count = asked.count()
+    if count > max_terms:
+        asked, parts = saved(asked, "queries"), -(-2 * count // max_terms)
+        passes = [asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i) for i in range(parts)]
+        return reduce(DataFrame.unionByName, [bm25(index, p, k, k1, b, max(max_terms, count), block) for p in passes])
+    asked = asked.toArrow()
+    kind, qkind = index.schema["doc"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    schema = f"query_id {qkind}, doc {kind}, score double"
+    if not asked.num_rows:
+        return spark.createDataFrame([], schema + ", place int")
+    query_ids, vocabulary = asked["query_id"].unique(), asked["term"].unique()
+    number, code = pc.index_in(asked["query_id"], query_ids).to_numpy(), pc.index_in(asked["term"], vocabulary).to_numpy()
+    order = np.lexsort((code, number))
+    number, code = number[order], code[order]
+    first, n_asking = np.searchsorted(number, np.arange(len(query_ids) + 1)), np.bincount(code, minlength=len(vocabulary))
+    words = spark.sparkContext.broadcast(vocabulary)
+    coded = index.mapInArrow(lambda batches: (_coded(x, words.value) for x in batches if x.num_rows), f"doc {kind}, dl array<int>, copies array<int>, n array<int>, code array<int>, tf array<int>")
+    coded = saved(coded, "postings")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n_docs, n_terms = np.zeros(len(words.value), np.int64), 0, 0
+        for batch in batches:
+            dl, copies, code = (batch.column(c).flatten().to_numpy().astype(np.int64) for c in ("dl", "copies", "code"))
+            df, n_docs, n_terms = df + np.bincount(code, minlength=len(df)), n_docs + copies.sum(), n_terms + (dl * copies).sum()
+        seen = np.flatnonzero(df)  # rows -1 and -2: documents and their terms in all
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, [-1, -2])), pa.array(np.append(df[seen], [n_docs, n_terms]))], ["code", "n"])
+
+    total = {r.code: r.n for r in coded.select("dl", "copies", "code").mapInArrow(counted, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).collect()}
+    n_docs, avg_dl = total.get(-1, 0), total.get(-2, 0) / max(total.get(-1, 0), 1)
+    df = np.array([total.get(i, 0) for i in range(len(vocabulary))])
+    shared = spark.sparkContext.broadcast((query_ids, first, code, n_asking, np.log(1 + (n_docs - df + 0.5) / (df + 0.5))))
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query_ids, first, asked, n_asking, idf = shared.value
+        top = np.zeros((len(query_ids), k))  # the k best scores so far of each query
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            dl, of_part, code, tf = (batch.column(c).flatten().to_numpy().astype(np.int64) for c in ("dl", "n", "code", "tf"))
+            row, dl = pc.list_parent_indices(batch.column("code")).to_numpy(), np.repeat(dl, of_part)
+            # rows are numbered in the order of doc, so of equal scores the first come first
+            order, n = pc.array_sort_indices(batch.column("doc"), null_placement="at_start"), batch.num_rows
+            docs, place = batch.column("doc").take(order), np.empty(n, np.int64)
+            place[order.to_numpy()] = np.arange(n)
+            row, weight = place[row], idf[code] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avg_dl))
+            by_code = np.argsort(code, kind="stable")
+            row, weight, code = row[by_code], weight[by_code], code[by_code]
+            here = np.bincount(code, minlength=len(idf))
+            end = np.cumsum(here)
+            often = np.flatnonzero(here * n_asking > 0.01 * n * len(query_ids))
+            column = np.full(len(idf), -1)
+            column[often] = np.arange(len(often))
+            dense = column[code]
+            table = np.bincount(dense[dense >= 0] * n + row[dense >= 0], weight[dense >= 0], len(often) * n).reshape(len(often), n)
+            found: list[tuple[int, np.ndarray, np.ndarray]] = []
+            for a in range(0, len(query_ids), block):
+                z = min(a + block, len(query_ids))
+                mine = asked[first[a] : first[z]]
+                has = np.zeros((z - a, len(often)))
+                wide = column[mine] >= 0
+                has[np.repeat(np.arange(z - a), np.diff(first[a : z + 1]))[wide], column[mine[wide]]] = 1
+                for q, s in enumerate(has @ table, a):
+                    terms = asked[first[q] : first[q + 1]]
+                    terms = terms[(column[terms] < 0) & (here[terms] > 0)]
+                    if len(terms):
+                        cuts = [slice(end[t] - here[t], end[t]) for t in terms]
+                        s += np.bincount(np.concatenate([row[c] for c in cuts]), np.concatenate([weight[c] for c in cuts]), n)
+                    at = np.flatnonzero(s >= top[q, 0] - 1e-6) if top[q, 0] > 1e-6 else np.flatnonzero(s > 0)
+                    r = np.floor(s[at] * 1e6 + 0.5) / 1e6
+                    if len(at) > k:
+                        least = np.partition(r, -k)[-k]
+                        better, equal = np.flatnonzero(r > least), np.flatnonzero(r == least)
+                        chosen = np.append(better, equal[: k - len(better)])
+                        at, r = at[chosen], r[chosen]
+                    at, r = at[r >= top[q, 0]], r[r >= top[q, 0]]
+                    if len(at):
+                        top[q] = np.sort(np.append(top[q], r))[-k:]
+                        found.append((q, at, r))
+            if found:
+                q = np.repeat([x[0] for x in found], [len(x[1]) for x in found])
+                at, r = np.concatenate([x[1] for x in found]), np.concatenate([x[2] for x in found])
+                yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(q)), docs.take(pa.array(at)), pa.array(r)], ["query_id", "doc", "score"])
+
+    return best(coded.select("doc", "dl", "n", "code", "tf").mapInArrow(scored, schema), "query_id", F.round("score", 6), "doc", k)
 
 
 def best(scored: DataFrame, group: str, score: Column, tie: str, k: int) -> DataFrame:

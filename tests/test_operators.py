@@ -2,7 +2,9 @@
 
 import itertools
 import math
+import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -106,6 +108,41 @@ def test_documents_without_heading_are_queries(spark, tmp_path):
     assert {texts[r.doc][r.start : r.stop].lower() for r in marked if r.query_id == 300 and r.doc == 7} == {"tree"} and {r.query_id for r in marked} == set(asked)
 
 
+def test_bm25_of_repeated_ids_ties_and_passes(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(30)]
+    texts = [(i % 40 if i % 7 else None, " ".join(rng.choices(words, [1 / (j + 1) for j in range(30)], k=rng.choice([0, 1, 1, 3, 3, 9])))) for i in range(150)]
+    asked = {(q, w) for q in range(12) for w in rng.sample(words, 1 + q % 5)} | {(12, "unknown"), (None, "w1")}
+    docs = [(d, t.split()) for d, t in texts if t]
+    mean, counts = sum(len(t) for _, t in docs) / len(docs), Counter()
+    for d, t in docs:  # rows of one id and length are one document
+        for w in t:
+            counts[d, len(t), w] += 1
+    df = Counter(w for _, _, w in counts)
+    scores = Counter()
+    for q, w in asked:
+        for (d, n, x), tf in counts.items():
+            if x == w:
+                scores[q, d] += math.log(1 + (len(docs) - df[w] + 0.5) / (df[w] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))
+    want = []
+    for query in {q for q, _ in scores}:
+        ranked = sorted((-round(s, 6), d is not None, d or 0, d) for (q, d), s in scores.items() if q == query)
+        want += [(query, d, -s, i) for i, (s, _, _, d) in enumerate(ranked[:5], 1)]
+    index = search.postings(spark.createDataFrame(texts, "id int, text string").repartition(3), "id", "text")
+    queries = spark.createDataFrame(list(asked), "query_id int, term string")
+    for most in (1_000_000, 7):
+        got = {(r.query_id, r.place): (r.doc, r.score) for r in search.bm25(index, queries, k=5, max_terms=most).collect()}
+        assert {p: d for p, (d, _) in got.items()} == {(q, i): d for q, d, _, i in want}
+        assert [got[q, i][1] for q, _, _, i in want] == pytest.approx([s for _, _, s, _ in want], abs=2e-6)
+    assert search.bm25(index, queries.filter("false")).collect() == [] == search.bm25(index.filter("false"), queries).collect()
+
+
+def test_bm25_exchanges_no_postings(spark, tmp_path):
+    spark.createDataFrame([(i, f"# tree {i % 3}\nred boat {i}") for i in range(300)], "doc_id bigint, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    plan = QUERIES["bm25_search"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"hashpartitioning\((\w+?)#\d+L?, \d+\)", plan) == ["query_id"] and plan.count("hashpartitioning(") == 1
+
+
 def test_vector_functions(spark):
     df = spark.createDataFrame([([3.0, 4.0], [3.0, 4.0]), ([0.0, 0.0], [1.0, 1.0]), ([1.0], [1.0, 2.0])], "a array<double>, b array<double>")
     assert [round(r.c, 9) for r in df.select(cosine(F.col("a"), F.col("b")).alias("c")).collect()] == [1.0, 0.0, 0.0]
