@@ -143,6 +143,20 @@ def test_bm25_exchanges_no_postings(spark, tmp_path):
     assert re.findall(r"hashpartitioning\((\w+?)#\d+L?, \d+\)", plan) == ["query_id"] and plan.count("hashpartitioning(") == 1
 
 
+def _exchanged(df):
+    return set(re.findall(r"hashpartitioning\((.+?), \d+\)", re.sub(r"#\d+L?", "", df._jdf.queryExecution().executedPlan().toString())))
+
+
+def test_snippets_exchange_texts_and_hits_only(spark, tmp_path):
+    texts = [(i, f"# tree {i % 3}\nred boat {i} " + "far " * 60 + f"harbour{i % 5} at sea " + "wide " * 60) for i in range(100, 320)] + [(400, "harbour4")]
+    spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["bm25_snippets"](spark, str(tmp_path))
+    assert _exchanged(got) <= {"query_id", "doc", "query_id, term"}
+    own = [r for r in got.collect() if r.query_id == 400]
+    assert [(r.doc, r.term) for r in sorted(own, key=lambda r: r.place)] == [(400, "harbour4"), (104, "harbour4"), (109, "harbour4")]
+    assert all("harbour4 at sea" in r.snippet and r.snippet.startswith("...far") and r.snippet.endswith("wide...") for r in own if r.doc != 400)
+
+
 def test_vector_functions(spark):
     df = spark.createDataFrame([([3.0, 4.0], [3.0, 4.0]), ([0.0, 0.0], [1.0, 1.0]), ([1.0], [1.0, 2.0])], "a array<double>, b array<double>")
     assert [round(r.c, 9) for r in df.select(cosine(F.col("a"), F.col("b")).alias("c")).collect()] == [1.0, 0.0, 0.0]
