@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foliant.functions.text import tokens
 from foliant.session import saved
@@ -305,27 +306,32 @@ def reranked(hits: DataFrame, similarity: Column, score: str = "score", share: f
     return best(hits.withColumn("score", share * F.col(score) + (1 - share) * F.coalesce(similarity, F.lit(0.0))), group, F.round("score", 6), tie, k)
 
 
+@F.arrow_udf(T.ArrayType(T.StructType().add("start", "integer").add("stop", "integer")))
+def _spans(low: pa.Array, terms: pa.Array) -> pa.Array:
+    sizes, flat = [0], []
+    for text, wanted in zip(low.to_pylist(), terms.to_pylist()):
+        places, merged = [], []
+        for t in wanted if text else []:
+            at = text.find(t)
+            while at >= 0:
+                places.append((at, at + len(t)))
+                at = text.find(t, at + len(t))
+        for start, stop in sorted(places):
+            if merged and merged[-1][1] >= start:
+                merged[-1][1] = max(merged[-1][1], stop)
+            else:
+                merged.append([start, stop])
+        flat += merged
+        sizes.append(len(flat))
+    both = np.array(flat, np.int32).reshape(-1, 2)
+    return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.StructArray.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["start", "stop"]))
+
+
 def highlights(text: Column, terms: Column) -> Column:
     """Merged (start, stop) character spans, from 0, where any of the terms (an array, any case) stands in the text; overlapping and adjacent spans are one.
     A null text or null terms have none.
 
-    All places of a term are found by splitting the lower-cased text at it, so this stays within the JVM.
+    Both are lower-cased by Spark, as tokens() does, and searched from place to place, so the time follows the places, not their square.
     """
-    low = F.lower(text)
-
-    def places(term: Column) -> Column:
-        parts = F.split(low, F.concat(F.lit("\\Q"), F.lower(term), F.lit("\\E")), -1)
-        n = F.length(term)
-        ends = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0), lambda s, x: s + F.length(x)) + (i - 1) * n)
-        return F.when(F.size(parts) > 1, F.transform(ends, lambda s: F.struct(s.cast("int").alias("start"), (s + n).cast("int").alias("stop")))).otherwise(F.array().cast("array<struct<start:int,stop:int>>"))
-
     given = F.filter(F.coalesce(terms, F.array().cast("array<string>")), lambda t: F.length(t) > 0)
-    spans = F.array_sort(F.flatten(F.transform(given, places)))
-    empty = F.array().cast("array<struct<start:int,stop:int>>")
-
-    def add(done: Column, span: Column) -> Column:
-        last = F.element_at(done, -1)
-        joined = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["stop"], span["stop"]).alias("stop"))))
-        return F.when((F.size(done) > 0) & (F.get(done, F.size(done) - 1)["stop"] >= span["start"]), joined).otherwise(F.concat(done, F.array(span)))
-
-    return F.aggregate(spans, empty, add)
+    return _spans(F.lower(text), F.transform(given, F.lower))

@@ -157,6 +157,28 @@ def test_snippets_exchange_texts_and_hits_only(spark, tmp_path):
     assert all("harbour4 at sea" in r.snippet and r.snippet.startswith("...far") and r.snippet.endswith("wide...") for r in own if r.doc != 400)
 
 
+def test_highlighted_hits_exchange_texts_and_hits_only(spark, tmp_path):
+    texts = [(i, f"# tree {i % 3}\nRed tree-boat {i}") for i in range(100, 320)]
+    spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["highlighted_hits"](spark, str(tmp_path))
+    assert _exchanged(got) <= {"query_id", "doc", "query_id, term"}
+    assert {(r.start, r.stop) for r in got.collect() if (r.query_id, r.doc) == (300, 102)} == {(2, 6), (7, 8), (13, 17), (24, 25)}
+
+
+def test_highlights_of_very_many_places(spark):
+    rng = random.Random(5)
+    texts = ["ab " * 100_000, *["".join(rng.choices("aAbBcé𝔘 -", k=300)) for _ in range(40)]]
+    asked = ["ab", "BA", "c", "é𝔘", "aa", "\\E", "-", "a-b"]
+    got = [[(h.start, h.stop) for h in r.h] for r in spark.createDataFrame([(i, t, asked) for i, t in enumerate(texts)], "i int, t string, q array<string>").select("i", search.highlights(F.col("t"), F.col("q")).alias("h")).orderBy("i").collect()]
+    assert got[0] == [(i, i + 2) for i in range(0, 300_000, 3)]
+    for text, spans in zip(texts[1:], got[1:]):
+        spots, ends = set(), set()
+        for m in (m for t in asked for m in re.finditer(re.escape(t.lower()), text.lower())):
+            spots |= {*range(2 * m.start(), 2 * m.end() + 1)}  # halves, so that adjacent places meet and others don't
+        ends = sorted(x for x in spots if x - 1 not in spots), sorted(x for x in spots if x + 1 not in spots)
+        assert spans == [(a // 2, z // 2) for a, z in zip(*ends)]
+
+
 def test_vector_functions(spark):
     df = spark.createDataFrame([([3.0, 4.0], [3.0, 4.0]), ([0.0, 0.0], [1.0, 1.0]), ([1.0], [1.0, 2.0])], "a array<double>, b array<double>")
     assert [round(r.c, 9) for r in df.select(cosine(F.col("a"), F.col("b")).alias("c")).collect()] == [1.0, 0.0, 0.0]
