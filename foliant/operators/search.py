@@ -151,6 +151,16 @@ def best(scored: DataFrame, group: str, score: Column, tie: str, k: int) -> Data
     return scored.withColumn("score", score).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
 
 
+def with_texts(hits: DataFrame, docs: DataFrame, id_col: str, text_col: str, max_broadcast: int = 1_000_000) -> DataFrame:
+    """The hits (doc, ...) with the text of each of their documents' rows.
+
+    The hits are written once. Up to max_broadcast of them are broadcast, so that texts stay where they are read; beyond, both are joined by a shuffle.
+    """
+    hits = saved(hits, "hits")
+    hits = F.broadcast(hits) if hits.count() <= max_broadcast else hits
+    return docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(hits, "doc")
+
+
 def vector_topk(items: DataFrame, id_col: str, vector_col: str, queries: DataFrame, k: int = 10, metric: str = "cosine", max_queries: int = 100_000, block: int = 2048) -> DataFrame:
     """(query_id, item_id, score, place): exact nearest vectors of a stated set of queries (query_id, vector).
 

@@ -50,7 +50,8 @@ def bm25_snippets(spark: SparkSession, folder: str) -> DataFrame:
     terms = _title_terms(documents)
     hits = search.bm25(search.postings(documents, "doc_id", "text"), terms, k=3)
     longest = terms.groupBy("query_id").agg(F.max(F.struct(F.length("term").alias("n"), "term"))["term"].alias("term"))
-    return hits.join(longest, "query_id").join(documents.select(F.col("doc_id").alias("doc"), "text"), "doc").select("query_id", "doc", "place", "term", snippet(F.col("text"), F.col("term")).alias("snippet"))
+    texts = search.with_texts(hits.join(longest, "query_id"), documents, "doc_id", "text")
+    return texts.select("query_id", "doc", "place", "term", snippet(F.col("text"), F.col("term")).alias("snippet"))
 
 
 def _usable(vectors: DataFrame) -> DataFrame:

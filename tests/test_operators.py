@@ -157,6 +157,23 @@ def test_snippets_exchange_texts_and_hits_only(spark, tmp_path):
     assert all("harbour4 at sea" in r.snippet and r.snippet.startswith("...far") and r.snippet.endswith("wide...") for r in own if r.doc != 400)
 
 
+def test_snippets_exchange_no_texts(spark, tmp_path):
+    texts = [(i if i % 9 else None, f"# tree {i % 3}\nred boat {i} " + "far " * 60 + f"harbour{i % 5} at sea") for i in range(100, 320)] + [(301, "tree of another 301"), (400, "harbour4")]
+    spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    documents = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    hits = spark.createDataFrame([(1, 301, 1), (2, 301, 1), (2, 400, 2), (3, 999, 1), (3, None, 2)], "query_id int, doc bigint, place int")
+    want = sorted((q, p, d, t) for q, d, p in [(1, 301, 1), (2, 301, 1), (2, 400, 2)] for i, t in texts if i == d)
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if all tables were large
+    try:
+        assert "doc" not in _exchanged(QUERIES["bm25_snippets"](spark, str(tmp_path)))
+        for most_hits, exchanged in ((5, set()), (4, {"doc"})):
+            got = search.with_texts(hits, documents, "doc_id", "text", most_hits)
+            assert _exchanged(got) == exchanged and rows(got, "query_id", "place", "doc", "text") == want and len(want) == 5
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+
+
 def test_highlighted_hits_exchange_texts_and_hits_only(spark, tmp_path):
     texts = [(i, f"# tree {i % 3}\nRed tree-boat {i}") for i in range(100, 320)]
     spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
